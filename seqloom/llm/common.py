@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def pieces(batch: pa.RecordBatch, col: str, size: int) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose `col` holds about `size` bytes each; a longer row stands alone."""
-    lens = pa.compute.fill_null(pa.compute.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False)
+    lens = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(lens):
         if i > start and held + n > size:
