@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import line_dedup as line_dedup_op
+from . import mixing, vafile
 from .bpe_codec import bpe_decode, bpe_encode
 from .common import table
 from .token_counts import token_counts
@@ -32,9 +34,30 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), byte_bpe_path())
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vafile.exact_top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors)
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup_op.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_codec": op3_bpe_codec,
     "op7_token_counts": op7_token_counts,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op9_mix_sources": op9_mix_sources,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_top_k": vafile.ORACLE_SQL,
+    "op9_mix_sources": mixing.ORACLE_SQL,
+    "op10_line_dedup": line_dedup_op.ORACLE_SQL,
+}
