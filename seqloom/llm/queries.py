@@ -11,6 +11,7 @@ from . import line_dedup as line_dedup_op
 from . import mixing, vafile
 from .bpe_codec import bpe_decode, bpe_encode
 from .common import table
+from .langid import identify_languages, learn_languages, remainder
 from .token_counts import token_counts
 
 
@@ -30,6 +31,14 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    model = learn_languages(docs.where(~held_out))
+    found = identify_languages(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "spans")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), byte_bpe_path())
 
@@ -50,6 +59,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_codec": op3_bpe_codec,
+    "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_mix_sources": op9_mix_sources,
