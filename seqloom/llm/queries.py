@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as line_dedup_op
-from . import mixing, vafile
+from . import imatch, mixing, vafile
 from .bpe_codec import bpe_decode, bpe_encode
 from .common import table
 from .langid import identify_languages, learn_languages, remainder
@@ -21,6 +21,10 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.digest(imatch.fingerprints(table(spark, sf_dir, "documents")))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe_encode(table(spark, sf_dir, "documents"), byte_bpe_path())
     both = bpe_decode(
@@ -58,6 +62,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_imatch": op2_imatch,
     "op3_bpe_codec": op3_bpe_codec,
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_imatch": imatch.ORACLE_SQL,
     "op8_exact_top_k": vafile.ORACLE_SQL,
     "op9_mix_sources": mixing.ORACLE_SQL,
     "op10_line_dedup": line_dedup_op.ORACLE_SQL,
