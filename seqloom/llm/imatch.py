@@ -3,7 +3,7 @@
 The lexicon holds the terms whose share of the documents lies in a band, that
 is, whose inverse document frequency does. A fingerprint hashes a document's
 sorted distinct lexicon terms: all of them first, then those in each of
-SUBSETS random subsets of the lexicon, whose sizes fall from a half to a 256th.
+SUBSETS random subsets of the lexicon, whose sizes fall from a quarter to a 256th.
 Small subsets often miss what an edit changed, large ones are strict, so the
 share of equal hashes grows with what two texts have in common.
 
@@ -13,12 +13,15 @@ document) / `low`, whatever the corpus's size: that bounds what is broadcast.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, partitions_for
 
-SUBSETS = 16  # one for each byte of an MD5
+LEVELS = [2, 3, 4, 4, *[5] * 4, *[6] * 6, *[7] * 8, *[8] * 10]  # subset k holds one term in 2 ** LEVELS[k]
+SUBSETS = len(LEVELS)
 LOW, HIGH = 0.002, 0.05
 MAX_BUCKETS = 4096
 BROADCAST_TERMS = 2_000_000
@@ -30,13 +33,10 @@ def terms(text: Column) -> Column:
 
 
 def subset_mask(term: Column) -> Column:
-    """Bit k is set if the term is in subset k: if the last 1 + k / 2 bits of byte k of its MD5 are 0."""
-    digest = F.md5(term)
-    bits = [F.when(F.conv(F.substring(digest, 2 * k + 1, 2), 16, 10).cast("int") % (2 << k // 2) == 0, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(SUBSETS)]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total + b
-    return total
+    """Bit k is set if the term is in subset k: if the last LEVELS[k] bits of a byte of an MD5 of the term are 0."""
+    digest = F.concat(F.md5(term), F.md5(F.concat(F.lit("|"), term)))
+    bits = [F.when(F.conv(F.substring(digest, 2 * k + 1, 2), 16, 10).cast("int") % (1 << level) == 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, level in enumerate(LEVELS)]
+    return functools.reduce(lambda a, b: a + b, bits)
 
 
 def lexicon(docs: DataFrame, low: float, high: float) -> DataFrame:
@@ -51,7 +51,7 @@ def hashes(found: Column, fallback: Column) -> Column:
     """The hash of all terms and of those of each subset ("" if it has none); without any term, the fallback's for all."""
     ordered = F.array_sort(found)
     one = lambda chosen: F.when(F.size(chosen) > 0, F.substring(F.md5(F.array_join(F.transform(chosen, lambda x: x["term"]), " ")), 1, 8)).otherwise(F.lit(""))
-    inside = lambda k: F.filter(ordered, lambda x: x["mask"].bitwiseAND(F.lit(1 << k)) != 0)
+    inside = lambda k: F.filter(ordered, lambda x: x["mask"].bitwiseAND(F.lit(1 << k).cast("bigint")) != 0)
     parts = [one(ordered), *[one(inside(k)) for k in range(SUBSETS)]]
     return F.when(F.size(found) > 0, F.array(*parts)).otherwise(F.array_repeat(F.substring(fallback, 1, 8), 1 + SUBSETS))
 
@@ -139,8 +139,8 @@ def digest(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "n_chars", "edited_sha256", F.array_join("hashes", "-").alias("fingerprint"), F.array_join("edited_hashes", "-").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-_HASHES = """CASE WHEN len({l}) = 0 THEN list_transform(range(0, 17), lambda k: substr(md5({t}), 1, 8))
-       ELSE list_transform(range(-1, 16), lambda k: CASE WHEN len(list_filter({l}, lambda x: k < 0 OR (x.mask >> greatest(k, 0)) % 2 = 1)) = 0 THEN ''
+_HASHES = """CASE WHEN len({l}) = 0 THEN list_transform(range(0, {m}), lambda k: substr(md5({t}), 1, 8))
+       ELSE list_transform(range(-1, {m} - 1), lambda k: CASE WHEN len(list_filter({l}, lambda x: k < 0 OR (x.mask >> greatest(k, 0)) % 2 = 1)) = 0 THEN ''
          ELSE substr(md5(array_to_string(list_transform(list_filter({l}, lambda x: k < 0 OR (x.mask >> greatest(k, 0)) % 2 = 1), lambda x: x.term), ' ')), 1, 8) END) END"""
 
 ORACLE_SQL = f"""
@@ -158,8 +158,8 @@ words AS (
   UNION ALL
   SELECT doc_id, 1, unnest(list_distinct(regexp_extract_all(lower(edited), '[\\p{{L}}\\p{{N}}]+'))) FROM e),
 lexicon AS (
-  SELECT term, list_sum(list_transform(range(0, 16), lambda k:
-           CASE WHEN CAST('0x' || substr(md5(term), CAST(2 * k + 1 AS INT), 2) AS INT) % (1 << (1 + k // 2)) = 0 THEN 1 << k ELSE 0 END)) AS mask
+  SELECT term, list_sum(list_transform(range(0, {SUBSETS}), lambda k:
+           CASE WHEN CAST('0x' || substr(md5(term) || md5('|' || term), CAST(2 * k + 1 AS INT), 2) AS INT) % (1 << {LEVELS}[CAST(k + 1 AS INT)]) = 0 THEN CAST(1 AS BIGINT) << k ELSE 0 END)) AS mask
   FROM words WHERE which = 0 GROUP BY term
   HAVING CAST(count(*) AS DOUBLE) > {LOW} * (SELECT count(*) FROM d) AND CAST(count(*) AS DOUBLE) <= {HIGH} * (SELECT count(*) FROM d)),
 met AS (
@@ -169,11 +169,11 @@ f AS (
   SELECT e.doc_id, n, next_id, edited, text, coalesce(a.l, []) AS la, coalesce(b.l, []) AS lb
   FROM e LEFT JOIN met a ON a.doc_id = e.doc_id AND a.which = 0 LEFT JOIN met b ON b.doc_id = e.doc_id AND b.which = 1),
 h AS (
-  SELECT doc_id, n, next_id, edited, {_HASHES.format(l="la", t="text")} AS ha, {_HASHES.format(l="lb", t="edited")} AS hb FROM f),
+  SELECT doc_id, n, next_id, edited, {_HASHES.format(l="la", t="text", m=SUBSETS + 1)} AS ha, {_HASHES.format(l="lb", t="edited", m=SUBSETS + 1)} AS hb FROM f),
 p AS (
   SELECT h.*, x.ha AS hn FROM h JOIN h x ON x.doc_id = h.next_id)
 SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(ha, '-') AS fingerprint, array_to_string(hb, '-') AS edited_fingerprint,
-  CAST(len(list_filter(range(1, 18), lambda i: ha[i] <> '' AND ha[i] = hb[i])) AS DOUBLE) / len(list_filter(range(1, 18), lambda i: ha[i] <> '' OR hb[i] <> '')) AS near_edited,
-  CAST(len(list_filter(range(1, 18), lambda i: ha[i] <> '' AND ha[i] = hn[i])) AS DOUBLE) / len(list_filter(range(1, 18), lambda i: ha[i] <> '' OR hn[i] <> '')) AS near_next
+  CAST(len(list_filter(range(1, {SUBSETS + 2}), lambda i: ha[i] <> '' AND ha[i] = hb[i])) AS DOUBLE) / len(list_filter(range(1, {SUBSETS + 2}), lambda i: ha[i] <> '' OR hb[i] <> '')) AS near_edited,
+  CAST(len(list_filter(range(1, {SUBSETS + 2}), lambda i: ha[i] <> '' AND ha[i] = hn[i])) AS DOUBLE) / len(list_filter(range(1, {SUBSETS + 2}), lambda i: ha[i] <> '' OR hn[i] <> '')) AS near_next
 FROM p
 """
