@@ -12,6 +12,7 @@ from . import imatch, mixing, vafile
 from .bpe_codec import bpe_decode, bpe_encode
 from .common import table
 from .langid import identify_languages, learn_languages, remainder
+from .order_minhash import near_duplicates
 from .token_counts import token_counts
 
 
@@ -21,6 +22,10 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.digest(imatch.fingerprints(table(spark, sf_dir, "documents")))
 
@@ -62,6 +67,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_imatch": op2_imatch,
     "op3_bpe_codec": op3_bpe_codec,
     "op6_language_id": op6_language_id,
