@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table `name` of the data folder, read by Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,7 +35,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: its lineage ends there, and lost executors can't take it along."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")  # its shuffle files go as soon as the table is there
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,6 +11,7 @@ from . import line_dedup as line_dedup_op
 from . import imatch, mixing, vafile
 from .bpe_codec import bpe_decode, bpe_encode
 from .common import table
+from .katz import katz_scores
 from .langid import identify_languages, learn_languages, remainder
 from .order_minhash import near_duplicates
 from .token_counts import token_counts
@@ -40,6 +41,10 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op4_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 3) == 1
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_imatch": op2_imatch,
     "op3_bpe_codec": op3_bpe_codec,
+    "op4_katz_scores": op4_katz_scores,
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_exact_top_k": op8_exact_top_k,
