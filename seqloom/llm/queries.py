@@ -13,6 +13,7 @@ from .bpe_codec import bpe_decode, bpe_encode
 from .common import table
 from .katz import katz_scores
 from .langid import identify_languages, learn_languages, remainder
+from .mincut_html import extract_text
 from .order_minhash import near_duplicates
 from .token_counts import token_counts
 
@@ -45,6 +46,10 @@ def op4_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
 
 
+def op5_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 3) == 1
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_imatch": op2_imatch,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_katz_scores": op4_katz_scores,
+    "op5_mincut_html": op5_mincut_html,
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_exact_top_k": op8_exact_top_k,
