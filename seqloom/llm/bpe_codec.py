@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .bpe import Vocabulary, chunks, merge_rounds, vocabulary
-from .common import column, pieces
+from .common import beside, column, pieces, with_columns
 
 CACHE = 400_000  # pieces a worker remembers between batches; only speed depends on it
 STEP = 2 << 20  # bytes of text whose new words share the merge rounds
@@ -58,34 +59,26 @@ class Encoder:
             self.known[p] = ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws))
 
 
-def _encoder(path: str, out: str):
+def _encoder(path: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(path)
         for batch in batches:
-            for a, b in pieces(batch, "_text", STEP):
+            for a, b in pieces(batch, 0, STEP):
                 part = batch.slice(a, b - a)
-                ids = enc.encode([t or "" for t in part.column("_text").to_pylist()])
-                keep = [part.column(i) for i, n in enumerate(part.schema.names) if n != "_text"]
-                names = [n for n in part.schema.names if n != "_text"]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(ids, pa.binary())], names=[*names, out])
+                ids = enc.encode([t or "" for t in part.column(0).to_pylist()])
+                yield with_columns(part, names, pa.array(ids, pa.binary()))
 
     return run
 
 
-def _decoder(path: str, out: str):
+def _decoder(path: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        get = vocab.token_bytes.__getitem__
+        get = vocabulary(path).token_bytes.__getitem__
         for batch in batches:
-            for a, b in pieces(batch, "_ids", 4 * STEP):
+            for a, b in pieces(batch, 0, 4 * STEP):
                 part = batch.slice(a, b - a)
-                texts = []
-                for x in part.column("_ids").to_pylist():
-                    ids = np.frombuffer(x, "<u4").tolist() if x else []
-                    texts.append(b"".join(map(get, ids)).decode("utf-8", "replace"))
-                keep = [part.column(i) for i, n in enumerate(part.schema.names) if n != "_ids"]
-                names = [n for n in part.schema.names if n != "_ids"]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(texts, pa.string())], names=[*names, out])
+                texts = [b"".join(map(get, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") if x else "" for x in part.column(0).to_pylist()]
+                yield with_columns(part, names, pa.array(texts, pa.string()))
 
     return run
 
@@ -96,18 +89,18 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str
     Special tokens' strings in a text become their ids, which is the
     library's default; nothing is added, cut or padded. Null and empty texts
     give no ids. Rows stay where they are: no shuffle; repeated rows give
-    repeated results. Columns outside `keep` are not read.
+    repeated results. Columns outside `keep` are not read; `out` gets leading
+    underscores where `keep` has it.
     """
-    narrow = df.select(*[column(df, c) for c in keep], column(df, text_col).cast("string").alias("_text"))
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "_text"], f"`{out}` binary"])
-    return narrow.mapInArrow(_encoder(path, out), schema)
+    narrow, schema = beside(df.withColumn(text_col, column(df, text_col).cast("string")), text_col, keep, (out, T.BinaryType()))
+    return narrow.mapInArrow(_encoder(path, schema.names), schema)
 
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), out: str = "text") -> DataFrame:
     """The columns `keep` and `out`: the text of packed ids, special tokens included; bytes that aren't UTF-8 give U+FFFD.
 
-    Null and empty ids give an empty text. An id outside the vocabulary is an error.
+    Null and empty ids give an empty text. An id outside the vocabulary is an
+    error. `out` gets leading underscores where `keep` has it.
     """
-    narrow = df.select(*[column(df, c) for c in keep], column(df, ids_col).alias("_ids"))
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "_ids"], f"`{out}` string"])
-    return narrow.mapInArrow(_decoder(path, out), schema)
+    narrow, schema = beside(df, ids_col, keep, (out, T.StringType()))
+    return narrow.mapInArrow(_decoder(path, schema.names), schema)

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -73,7 +74,23 @@ def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(column(df, id_col).cast("long").alias("id"), column(df, text_col).cast("string").alias("text"))
 
 
-def pieces(batch: pa.RecordBatch, col: str, size: int) -> Iterator[tuple[int, int]]:
+def beside(df: DataFrame, col: str, keep: Iterable[str], *added: tuple[str, T.DataType]) -> tuple[DataFrame, T.StructType]:
+    """`col` as the first column and `keep` after it, and the schema of `keep` with the added columns.
+
+    Python code takes the columns by position, so no name can clash; added
+    names that `keep` has already get leading underscores.
+    """
+    narrow = df.select(column(df, col), *[column(df, c) for c in keep])
+    names = free_names(narrow.select(*[column(df, c) for c in keep]), *[n for n, _ in added]) if added else []
+    return narrow, T.StructType([*narrow.schema.fields[1:], *[T.StructField(n, t) for n, (_, t) in zip(names, added, strict=True)]])
+
+
+def with_columns(part: pa.RecordBatch, names: list[str], *cols: pa.Array) -> pa.RecordBatch:
+    """All columns but the first, and the new ones."""
+    return pa.RecordBatch.from_arrays([*part.columns[1:], *cols], names=names)
+
+
+def pieces(batch: pa.RecordBatch, col: str | int, size: int) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose `col` holds about `size` bytes each; a longer row stands alone."""
     lens = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
@@ -86,15 +103,6 @@ def pieces(batch: pa.RecordBatch, col: str, size: int) -> Iterator[tuple[int, in
         yield start, len(lens)
 
 
-def rows_to_batch(rows: Iterable[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
-
-
 def partitions_for(spark: SparkSession, floor: int = 1) -> int:
     """The session's number of shuffle partitions, `floor` at least."""
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def text_or_empty(col: str):
-    return F.coalesce(F.col(col), F.lit(""))

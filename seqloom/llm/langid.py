@@ -16,8 +16,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import column, pieces
+from .common import beside, column, pieces, with_columns
 
 WORDS = regex.compile(r"\p{L}+")
 TABLE = 1 << 18  # hashed trigrams
@@ -158,15 +159,15 @@ def viterbi(scores: np.ndarray, lens: np.ndarray, penalty: float = SWITCH) -> np
 SPANS = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
 
 
-def _label(shared):
+def _label(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LanguageModel = shared.value
         known: dict[str, int] = {}
         table, fill = np.empty((1024, len(model.langs)), np.float32), 0
         for batch in batches:
-            for a, b in pieces(batch, "_text", STEP):
+            for a, b in pieces(batch, 0, STEP):
                 part = batch.slice(a, b - a)
-                found = [WORDS.findall(t.lower()) if t else [] for t in part.column("_text").to_pylist()]
+                found = [WORDS.findall(t.lower()) if t else [] for t in part.column(0).to_pylist()]
                 if fill > CACHE:
                     known.clear()
                     fill = 0
@@ -194,9 +195,8 @@ def _label(shared):
                         spans[rows[c]].append((model.langs[labels[c]], int(c - first[rows[c]]), k))
                     for i in np.flatnonzero(lens).tolist():
                         pred[i], score[i] = model.langs[top[i]], float(weight[i, top[i]] / weight[i].sum())
-                keep = [(part.column(i), x) for i, x in enumerate(part.schema.names) if x != "_text"]
                 spans = pa.array([[{"lang": s[0], "first_word": s[1], "n_words": s[2]} for s in x] for x in spans], SPANS)
-                yield pa.RecordBatch.from_arrays([*[c for c, _ in keep], pa.array(pred, pa.string()), pa.array(score, pa.float64()), spans], names=[*[x for _, x in keep], "lang_pred", "score", "spans"])
+                yield with_columns(part, names, pa.array(pred, pa.string()), pa.array(score, pa.float64()), spans)
 
     return run
 
@@ -207,12 +207,13 @@ def identify_languages(df: DataFrame, model: LanguageModel, text_col: str = "tex
     lang_pred is the language of most letters, the first in the alphabet among
     equals; "und" with score 0 and no spans if the text is null, has no letter
     or the model knows no language. Whole texts are labelled, of any length.
-    No shuffle; repeated rows give repeated results.
+    No shuffle; repeated rows give repeated results. Added names get leading
+    underscores where `keep` has them.
     """
-    narrow = df.select(*[column(df, c) for c in keep], column(df, text_col).cast("string").alias("_text"))
+    span = T.StructType([T.StructField("lang", T.StringType()), T.StructField("first_word", T.IntegerType()), T.StructField("n_words", T.IntegerType())])
+    narrow, schema = beside(df.withColumn(text_col, column(df, text_col).cast("string")), text_col, keep, ("lang_pred", T.StringType()), ("score", T.DoubleType()), ("spans", T.ArrayType(span)))
     shared = df.sparkSession.sparkContext.broadcast(model)
-    head = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "_text")
-    return narrow.mapInArrow(_label(shared), f"{head}, lang_pred string, score double, spans array<struct<lang:string,first_word:int,n_words:int>>")
+    return narrow.mapInArrow(_label(shared, schema.names), schema)
 
 
 def remainder(id_col: Column, mod: int) -> Column:

@@ -16,8 +16,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .common import column, pieces
+from .common import beside, column, pieces, with_columns
 
 STEP = 4 << 20
 
@@ -286,14 +287,12 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(t for t, keep in zip(blocks.texts, on, strict=True) if keep)
 
 
-def _extract(out: str):
+def _extract(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in pieces(batch, "_html", STEP):
+            for a, b in pieces(batch, 0, STEP):
                 part = batch.slice(a, b - a)
-                texts = [main_text(x.as_py()) for x in part.column("_html")]
-                keep = [(part.column(i), x) for i, x in enumerate(part.schema.names) if x != "_html"]
-                yield pa.RecordBatch.from_arrays([*[c for c, _ in keep], pa.array(texts, pa.string())], names=[*[x for _, x in keep], out])
+                yield with_columns(part, names, pa.array([main_text(x.as_py()) for x in part.column(0)], pa.string()))
 
     return run
 
@@ -305,7 +304,7 @@ def extract_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] =
     blocks are trimmed and joined by two line breaks; nothing else is dropped
     or capped. A null or empty page, or one without content, gives an empty
     text. No shuffle; repeated rows give repeated results.
+    `out` gets leading underscores where `keep` has it.
     """
-    narrow = df.select(*[column(df, c) for c in keep], column(df, html_col).cast("string").alias("_html"))
-    head = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in narrow.schema if f.name != "_html")
-    return narrow.mapInArrow(_extract(out), f"{head}`{out}` string")
+    narrow, schema = beside(df.withColumn(html_col, column(df, html_col).cast("string")), html_col, keep, (out, T.StringType()))
+    return narrow.mapInArrow(_extract(schema.names), schema)

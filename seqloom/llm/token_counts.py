@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import chunks, heap_count, vocabulary
-from .common import column
+from .common import beside, column, with_columns
 
 CACHE = 600_000  # pieces a worker remembers; only speed depends on it
 
@@ -49,13 +50,13 @@ class Counter(dict):
         return n
 
 
-def _counts(path: str, out: str):
+def _counts(path: str, names: list[str], limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
         for batch in batches:
-            n = [counter.count(t.as_py() or "") for t in batch.column("_text")]
-            keep = [(c, x) for c, x in zip(batch.columns, batch.schema.names, strict=True) if x != "_text"]
-            yield pa.RecordBatch.from_arrays([*[c for c, _ in keep], pa.array(n, pa.int64())], names=[*[x for _, x in keep], out])
+            size = pc.fill_null(pc.binary_length(batch.column(0)), 0).cast(pa.int64())
+            n = pa.array([counter.count(t.as_py() or "") for t in batch.column(0)], pa.int64())
+            yield with_columns(batch, names, size, n, pc.greater(n, limit))
 
     return run
 
@@ -65,9 +66,8 @@ def token_counts(df: DataFrame, path: str, text_col: str = "text", keep: tuple[s
 
     A count is the symbols less the merges; no ids are made. Special tokens'
     strings in a text count as one token each. Null and empty texts count 0.
-    No shuffle; repeated rows give repeated results.
+    No shuffle; repeated rows give repeated results. Added names get leading
+    underscores where `keep` has them.
     """
-    narrow = df.select(*[column(df, c) for c in keep], F.coalesce(F.octet_length(column(df, text_col)).cast("long"), F.lit(0).cast("long")).alias("n_bytes"), column(df, text_col).cast("string").alias("_text"))
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "_text"], f"`{out}` bigint"])
-    got = narrow.mapInArrow(_counts(path, out), schema)
-    return got.withColumn("over_limit", F.col(out) > limit)
+    narrow, schema = beside(df.withColumn(text_col, column(df, text_col).cast("string")), text_col, keep, ("n_bytes", T.LongType()), (out, T.LongType()), ("over_limit", T.BooleanType()))
+    return narrow.mapInArrow(_counts(path, schema.names, limit), schema)
