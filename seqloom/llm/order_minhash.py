@@ -12,26 +12,32 @@ only if the texts agree in content and in order, that is, in edit distance.
    compared with every leader. So a bucket of copies costs a row for each of
    them, no pairs, and a hot bucket arrives as one leader or a few a chunk.
 3. Candidates that share AGREE values are aligned word by word in a band as
-   wide as the similarity allows (1 - edits / words of the longer >= 0.8).
+   wide as the similarity allows (1 - edits / words of the longer >= 0.8): at
+   first along the words that both texts have once, which proves most links;
+   where that doesn't, by the exact banded distance.
 4. Verified links make classes, as connected components.
 """
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, delete_written, id_text, partitions_for, written
+from .bloom import bloom_of, bloom_positions, bloom_test
+from .common import column, id_text, partitions_for, written
 from .components import components
 
 SHINGLE, ORDERED, BANDS = 5, 2, 32
-AGREE, ABSORB = 2, 12
+AGREE, ABSORB = 2, 6
+STRONG = 12
 SIMILAR = 0.8
 CHUNK = 20_000  # rows whose copies fold before the shuffle
 WIDE = 200_000  # shingles times bands at once
@@ -133,20 +139,60 @@ def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     return None
 
 
+def _chain(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest part of the points (i rising) in which j rises too."""
+    if (np.diff(j) > 0).all():
+        return i, j
+    tails: list[int] = []
+    at: list[int] = []
+    back = [-1] * len(j)
+    for k, v in enumerate(j.tolist()):
+        p = bisect_left(tails, v)
+        tails[p:] = [v, *tails[p + 1 :]] if p < len(tails) else [v]
+        back[k] = at[p - 1] if p else -1
+        at[p:] = [k, *at[p + 1 :]] if p < len(at) else [k]
+    keep, k = [], at[-1]
+    while k >= 0:
+        keep.append(k)
+        k = back[k]
+    own = np.array(keep[::-1])
+    return i[own], j[own]
+
+
+def anchored_edits(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> int:
+    """Edits of an alignment through the points (i, j), never fewer than the distance: gaps of equal length are compared word by word."""
+    i, j = _chain(i, j)
+    i, j = np.concatenate([[-1], i, [len(a)]]), np.concatenate([[-1], j, [len(b)]])
+    ga, gb = np.diff(i) - 1, np.diff(j) - 1
+    even = (ga == gb) & (ga > 0)
+    edits = int(np.maximum(ga, gb)[~even].sum())
+    if even.any():
+        n, from_a, from_b = ga[even], i[:-1][even] + 1, j[:-1][even] + 1
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        edits += int((a[np.repeat(from_a, n) + step] != b[np.repeat(from_b, n) + step]).sum())
+    return edits
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float | None:
-    """1 - edits / words of the longer, if that is `least` or more."""
+    """1 - edits / words of the longer, if an alignment with that of `least` or more exists (not always the best one's)."""
     longer = max(len(a), len(b))
     if not longer:
         return 1.0
     limit = int(np.floor((1 - least) * longer + 1e-9))
     if abs(len(a) - len(b)) > limit:
         return None
-    ua, ca = np.unique(a, return_counts=True)
-    ub, cb = np.unique(b, return_counts=True)
+    ua, fa, ca = np.unique(a, return_index=True, return_counts=True)
+    ub, fb, cb = np.unique(b, return_index=True, return_counts=True)
     _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
     if longer - int(np.minimum(ca[ia], cb[ib]).sum()) > limit:  # words that the other lacks cost an edit each
         return None
-    d = banded_distance(a, b, limit)
+    once = (ca[ia] == 1) & (cb[ib] == 1)
+    i, j = fa[ia[once]], fb[ib[once]]
+    inside = np.abs(i - j) <= limit
+    order = np.argsort(i[inside])
+    d = anchored_edits(a, b, i[inside][order], j[inside][order])
+    if d > limit:
+        d = banded_distance(a, b, limit)
     return None if d is None else 1 - d / longer
 
 
@@ -163,8 +209,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary())], names=["id", "digest", "n", "sketch"])
 
 
-def gather(ids: np.ndarray, n: np.ndarray, small: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Candidate pairs (leader, text) of one bucket, and the positions of its leaders."""
+def gather(ids: np.ndarray, n: np.ndarray, small: np.ndarray) -> tuple[list[tuple[int, int, bool]], np.ndarray]:
+    """Candidate pairs of one bucket as positions (leader, text, absorbed), and the positions of its leaders."""
     left = np.argsort(ids, kind="stable")
     pairs, leaders = [], []
     while len(left):
@@ -174,45 +220,71 @@ def gather(ids: np.ndarray, n: np.ndarray, small: np.ndarray) -> tuple[list[tupl
             break
         agree = (small[left] == small[lead]).sum(axis=1)
         fits = np.minimum(n[left], n[lead]) >= SIMILAR * np.maximum(n[left], n[lead]) - 1e-9
-        pairs += [(int(ids[lead]), int(i)) for i in ids[left[fits & (agree >= AGREE)]]]
-        left = left[~(fits & (agree >= ABSORB))]
+        found, absorbed = fits & (agree >= AGREE), fits & (agree >= ABSORB)
+        pairs += [(int(lead), int(i), bool(x)) for i, x in zip(left[found], absorbed[found], strict=True)]
+        left = left[~absorbed]
     return pairs, np.array(leaders)
 
 
-OUT = "key bigint, id bigint, n int, small binary, lead bigint"
-OUT_SCHEMA = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("small", pa.binary()), ("lead", pa.int64())])
+class Joined:
+    """Which texts of a chunk are one component already, by union and find."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
 
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
 
-def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    k = len(pairs)
-    return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array([p[0] for p in pairs], pa.int64())], schema=OUT_SCHEMA)
+    def join(self, i: int, j: int) -> bool:
+        """False if they were joined before."""
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+OUT = "key bigint, id bigint, n int, small binary, lead bigint"
+OUT_SCHEMA = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("small", pa.binary()), ("lead", pa.int64())])
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of leaders for each band, and pairs with what they absorbed, chunk by chunk."""
+    """Rows of leaders for each band (lead is null), and pairs with what they absorbed, chunk by chunk.
+
+    A pair that agrees in STRONG values is a link but for its proof, so later
+    pairs within the component that such pairs make add nothing.
+    """
     held: list[pa.RecordBatch] = []
 
     def out() -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held).sort_by("id")
         ids, n = table["id"].to_numpy(), table["n"].to_numpy()
         full = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u8").reshape(-1, BANDS)
         small = full.astype(np.uint16)
         packed = pa.array([s.tobytes() for s in small], pa.binary())
+        joined, seen = Joined(len(ids)), set()
         for band in range(BANDS):
             key = full[:, band].view(np.int64)
             order = np.argsort(key, kind="stable")
-            cut = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1 if key[order[0]] > np.iinfo(np.int64).min else 0))
-            cut = np.unique(np.concatenate([[0], cut]))
+            cut = np.concatenate([[0], np.flatnonzero(key[order][1:] != key[order][:-1]) + 1])
             size = np.diff(cut, append=len(order))
             stay, pairs = np.ones(len(key), bool), []
             for c, s in zip(cut[size > 1].tolist(), size[size > 1].tolist(), strict=True):
                 group = order[c : c + s]
                 found, leaders = gather(ids[group], n[group], small[group])
-                pairs += found
+                for a, b, absorbed in found:
+                    a, b = int(group[a]), int(group[b])
+                    if joined.root(a) == joined.root(b) or (a, b) in seen:
+                        continue
+                    if absorbed and (small[a] == small[b]).sum() >= STRONG:
+                        joined.join(a, b)
+                    seen.add((a, b))
+                    pairs.append((a, b))
                 stay[group] = False
                 stay[group[leaders]] = True
             if pairs:
-                yield _pairs_batch(pairs)
+                a, b = ids[[p[0] for p in pairs]], ids[[p[1] for p in pairs]]
+                yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(b), pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.binary()), pa.array(a)], schema=OUT_SCHEMA)
             at = np.flatnonzero(stay)
             yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(ids[at]), pa.array(n[at], pa.int32()), packed.take(pa.array(at)), pa.nulls(len(at), pa.int64())], schema=OUT_SCHEMA)
 
@@ -229,8 +301,12 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
+def _ends(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["lead", "id"])
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each bucket of leaders; rows arrive sorted by key."""
+    """Pairs of each bucket of leaders, and those found before; rows arrive sorted by key."""
     tail: pa.Table | None = None
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -240,17 +316,18 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[tuple[int, int]] = []
         for c, s in zip(cut[size > 1].tolist(), size[size > 1].tolist(), strict=True):
             sketch = np.frombuffer(b"".join(small.slice(c, s).to_pylist()), "<u2").reshape(s, BANDS)
-            pairs += gather(ids[c : c + s], n[c : c + s], sketch)[0]
+            pairs += [(int(ids[c + a]), int(ids[c + b])) for a, b, _ in gather(ids[c : c + s], n[c : c + s], sketch)[0]]
             if len(pairs) > 50_000:
                 yield _ends(pairs)
                 pairs = []
         if pairs:
             yield _ends(pairs)
 
-    def _ends(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["lead", "id"])
-
     for batch in batches:
+        known = batch.filter(pc.is_valid(batch.column("lead")))
+        if known.num_rows:
+            yield pa.RecordBatch.from_arrays([known.column("lead"), known.column("id")], names=["lead", "id"])
+        batch = batch.filter(pc.is_null(batch.column("lead")))
         if not batch.num_rows:
             continue
         now = pa.Table.from_batches([batch])
@@ -265,19 +342,34 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found(tail)
 
 
+def _words(shared, bits: int):
+    """Word hashes of the texts whose id the Bloom filter holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+        ids = WordIds()
+        for batch in batches:
+            at = np.flatnonzero(bloom_test(wanted, bloom_positions(batch.column(0).to_numpy(), bits)))
+            for k in range(0, len(at), 500):
+                part = batch.take(pa.array(at[k : k + 500]))
+                words = [(ids.of(t.as_py() or "") >> np.uint64(32)).astype("<u4").tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.binary())], names=["doc", "words"])
+
+    return run
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between leaders and texts that are similar; a leader's row comes before its texts'."""
-    ids = WordIds()
     lead, words = None, None
     for batch in batches:
         a, b, s = [], [], []
-        for at, salt, doc, first, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own = ids.of(text or "")
-            if first:
+        for at, salt, doc, first, packed in zip(*batch.columns, strict=True):
+            at, salt, own = at.as_py(), salt.as_py(), np.frombuffer(packed.as_py(), "<u4")
+            if first.as_py():
                 lead, words = (at, salt), own
             elif (at, salt) == lead and (found := similar(words, own)) is not None:
                 a.append(at)
-                b.append(doc)
+                b.append(doc.as_py())
                 s.append(found)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
@@ -287,16 +379,17 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = partitions_for(spark)
     distinct = sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("x")).select("x.*")
-    folded = written(distinct.mapInArrow(_fold, OUT), "folded")
-    met = folded.where("lead is null").select("key", "id", "n", "small").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet, "lead bigint, id bigint")
-    pairs = written(folded.where("lead is not null").select("lead", "id").union(met).where("lead <> id").select(F.least("lead", "id").alias("lead"), F.greatest("lead", "id").alias("id")).distinct(), "pairs")
-    delete_written(folded)
+    met = distinct.mapInArrow(_fold, OUT).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet, "lead bigint, id bigint")
+    pairs = written(met.where("lead <> id").select(F.least("lead", "id").alias("lead"), F.greatest("lead", "id").alias("id")).distinct(), "pairs")
     shares = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).alias("shares"))
     members = pairs.join(shares, "lead").select("lead", F.pmod(F.xxhash64("id"), F.col("shares")).alias("salt"), F.col("id").alias("doc"))
     heads = members.select("lead", "salt").distinct().select("lead", "salt", F.col("lead").alias("doc"))
     routes = heads.withColumn("first", F.lit(True)).union(members.withColumn("first", F.lit(False)))
-    texts = docs.select(F.col("id").alias("doc"), "text")
-    sent = routes.join(texts, "doc").select("lead", "salt", "doc", "first", "text")
+    involved = pairs.select(F.explode(F.array("lead", "id")).alias("id")).distinct()
+    wanted, bits = bloom_of(involved)
+    shared = spark.sparkContext.broadcast(zlib.compress(wanted.tobytes(), 1))
+    texts = docs.select("id", "text").mapInArrow(_words(shared, bits), "doc bigint, words binary")
+    sent = routes.join(texts, "doc").select("lead", "salt", "doc", "first", "words")
     near = sent.repartition(n, "lead", "salt").sortWithinPartitions("lead", "salt", F.desc("first")).mapInArrow(_align, "a bigint, b bigint, similarity double")
     return written(near, "near")
 
