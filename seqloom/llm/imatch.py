@@ -47,13 +47,22 @@ def lexicon(docs: DataFrame, low: float, high: float) -> DataFrame:
     return counts.where(inside).select("term", subset_mask(F.col("term")).alias("mask"))
 
 
-def hashes(found: Column, fallback: Column) -> Column:
-    """The hash of all terms and of those of each subset ("" if it has none); without any term, the fallback's for all."""
-    ordered = F.array_sort(found)
+def with_hashes(df: DataFrame, found: str, fallback: str, out: str) -> DataFrame:
+    """`df` and array `out`: the hash of all terms and of those of each subset ("" if it has none); without any term, the fallback's for all.
+
+    `found` holds sorted (term, mask). Subsets of one level look only at the
+    terms that some of them holds.
+    """
+    some = {level: sum(1 << k for k, x in enumerate(LEVELS) if x == level) for level in sorted(set(LEVELS))}
+    split = df.withColumns({f"{out}_{level}": _having(found, bits) for level, bits in some.items()})
     one = lambda chosen: F.when(F.size(chosen) > 0, F.substring(F.md5(F.array_join(F.transform(chosen, lambda x: x["term"]), " ")), 1, 8)).otherwise(F.lit(""))
-    inside = lambda k: F.filter(ordered, lambda x: x["mask"].bitwiseAND(F.lit(1 << k).cast("bigint")) != 0)
-    parts = [one(ordered), *[one(inside(k)) for k in range(SUBSETS)]]
-    return F.when(F.size(found) > 0, F.array(*parts)).otherwise(F.array_repeat(F.substring(fallback, 1, 8), 1 + SUBSETS))
+    parts = [one(F.col(found)), *[one(_having(f"{out}_{level}", 1 << k)) for k, level in enumerate(LEVELS)]]
+    made = F.when(F.size(found) > 0, F.array(*parts)).otherwise(F.array_repeat(F.substring(F.col(fallback), 1, 8), 1 + SUBSETS))
+    return split.withColumn(out, made).drop(*[f"{out}_{level}" for level in some])
+
+
+def _having(found: str, bits: int) -> Column:
+    return F.filter(found, lambda x: x["mask"].bitwiseAND(F.lit(bits).cast("bigint")) != 0)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -128,7 +137,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = spread.join(F.broadcast(words), "term")
     of = lambda k: F.collect_list(F.when(F.col("which") == k, F.struct("term", "mask")))
     met = known.groupBy("bucket", "at").agg(of(0).alias("found"), of(1).alias("found_edited"), F.max("info").alias("i"))
-    hashed = met.select("bucket", "at", "i.*", hashes(F.col("found"), F.col("i.whole")).alias("hashes"), hashes(F.col("found_edited"), F.col("i.whole_edited")).alias("edited_hashes"))
+    flat = met.select("bucket", "at", "i.*", F.sort_array("found").alias("found"), F.sort_array("found_edited").alias("found_edited"))
+    hashed = with_hashes(with_hashes(flat, "found", "whole", "hashes"), "found_edited", "whole_edited", "edited_hashes").drop("found", "found_edited")
     order = Window.partitionBy("bucket").orderBy("at")
     ahead = hashed.withColumn("next_hashes", F.lead("hashes").over(order)).where("last = 0")
     return ahead.select(F.col("id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"), "hashes", "edited_hashes", likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"))
