@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, free_names, partitions_for, pieces
+from .common import column, free_names, partitions_for, pieces, written
 
 BLANK = " \t\n\x0b\x0c\r"
 PROBES = 4
@@ -194,11 +194,12 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     narrow = df.select(column(df, id_col).cast("long").alias("id"), column(df, text_col).cast("string").alias("text"))
     again, bits = seen_again(narrow, "text", least_chars)
     shared = spark.sparkContext.broadcast(zlib.compress(again.tobytes(), 1))
-    suspects = narrow.mapInArrow(_suspects(shared, bits, least_chars), "id bigint, key string")
-    repeated = (
+    suspects = written(narrow.mapInArrow(_suspects(shared, bits, least_chars), "id bigint, key string"), "suspects")
+    repeated = written(
         suspects.groupBy("key", "id").agg(F.lit(1).alias("one"))
         .groupBy("key").agg(F.count("one").alias("docs"), F.max("id").alias("keeper"))
-        .where(F.col("docs") >= least_docs).select("key", "keeper")
+        .where(F.col("docs") >= least_docs).select("key", "keeper"),
+        "repeated",
     )
     lost = suspects.join(repeated, "key").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy(F.col("id").alias(ref)).agg(F.collect_set("key").alias(gone))
     whole = df.withColumn(text_col, column(df, text_col).cast("string"))
