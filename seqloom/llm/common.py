@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a scratch table is written: shuffle files go as soon as it is there, and Python gets its rows in smaller batches.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +37,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: its lineage ends there, and lost executors can't take it along."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqloom/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")  # its shuffle files go as soon as the table is there
+    before = {k: spark.conf.get(k, None) for k in WHILE_WRITING}
+    for k, v in WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import column, partitions_for, written
 
-BLOCK = 8 << 20  # bytes of text
-PART = 12 << 20  # bytes of text for each partition of the n-gram tables
+BLOCK = 3 << 20  # bytes of text
+PART = 8 << 20  # bytes of text for each partition of the n-gram tables
 LOW = 5  # counts up to here are discounted
 END = b"\n"  # no word holds a blank
 SPREAD = 4  # a context of this many partitions' mean share or more is split
@@ -382,7 +382,7 @@ def katz_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
         was = hot.get(r["block"], (np.zeros(LOW), 0.0))
         hot[r["block"]] = was[0] + low, was[1] + float(share[0])
     scored = by_block(known.union(found.where(F.col("kind") == FOUND))).mapInArrow(_score(parts, unigrams, d, hot, spread), OUT_DDL)
-    return scored.withColumnRenamed("id", id_col)
+    return written(scored, "scores").withColumnRenamed("id", id_col)
 
 
 __all__ = ["Unigrams", "discounts", "katz_scores"]
