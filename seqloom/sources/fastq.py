@@ -75,7 +75,12 @@ def read_fastq_text(spark: SparkSession, path: str) -> DataFrame:
     Lines are numbered within a file, so each file is one row of Spark's text
     reader; cut very large files before.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n").alias("lines"))
+    return records_of(spark.read.text(path, wholetext=True))
+
+
+def records_of(whole: DataFrame) -> DataFrame:
+    """Records of whole files in column value, of a batch or of a stream."""
+    whole = whole.select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n").alias("lines"))
     n = F.floor(F.size("lines") / 4).cast("int")
     each = whole.where(n > 0).select("file", "lines", F.explode(F.sequence(F.lit(0), n - 1)).alias("ord"))
     line = lambda k: F.element_at("lines", F.col("ord") * 4 + k)
