@@ -31,26 +31,43 @@ class Vocabulary:
     """Merge ranks, token bytes and special tokens of a byte-level BPE file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model, self.path = spec["model"], path
-        back = {c: b for b, c in enumerate(byte_symbols())}
-        ids: dict[str, int] = model["vocab"]
+        self.path = path
+        spec = self._spec()
+        ids = spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.token_bytes: dict[int, bytes] = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in ids.items()}
-        self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
-        self.byte_id = np.array([ids[c] for c in byte_symbols()], np.int64)
-        self.byte_list = self.byte_id.tolist()
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.byte_list = [ids[c] for c in byte_symbols()]
+        self.byte_id = np.array(self.byte_list, np.int64)
+        self._special_re = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self._find = regex.compile(PATTERN).findall
+        self._odd = None
+
+    def _spec(self) -> dict:
+        """The file's contents, which aren't kept: each worker needs only one of the tables made from them."""
+        with open(self.path, encoding="utf-8") as f:
+            return json.load(f)
+
+    @functools.cached_property
+    def token_bytes(self) -> dict[int, bytes]:
+        back = {c: b for b, c in enumerate(byte_symbols())}
+        out = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in self._spec()["model"]["vocab"].items()}
+        return out | {i: t.encode() for t, i in self.special.items()}
+
+    @functools.cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of all pairs that merge, sorted, their ranks and what they become."""
+        model = self._spec()["model"]
+        ids, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         left, right = (np.array([ids[m[k]] for m in merges], np.int64) for k in (0, 1))
         new = np.array([ids[a + b] for a, b in merges], np.int64)
         key = left << 32 | right
         order = np.argsort(key, kind="stable")
-        self.pair_keys, self.pair_ranks, self.pair_new = key[order], order.astype(np.int32), new[order]
-        self.ranks = {int(k): (r, int(n)) for r, (k, n) in enumerate(zip(key.tolist(), new.tolist(), strict=True))}
-        self._special_re = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self._find = regex.compile(PATTERN).findall
-        self._odd = None
+        return key[order], order.astype(np.int32), new[order]
+
+    @functools.cached_property
+    def ranks(self) -> dict[int, tuple[int, int]]:
+        """(rank, new symbol) of each pair's key."""
+        key, rank, new = (x.tolist() for x in self.pairs)
+        return {k: (r, n) for k, r, n in zip(key, rank, new, strict=True)}
 
     def split_special(self, text: str) -> Iterator[tuple[str, bool]]:
         """(piece, is a special token): special tokens' strings stand alone, leftmost and longest first."""
@@ -76,9 +93,9 @@ class Vocabulary:
             everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
             new = regex.findall(r"[\p{L}\p{N}\s]", everything)
             odd = [c for c in new if unicodedata.category(c) == "Cn"]
-            from tokenizers import Tokenizer
+            from tokenizers import pre_tokenizers
 
-            split = Tokenizer.from_file(self.path).pre_tokenizer.pre_tokenize_str
+            split = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
             self.letters_of_odd = {c: "a" if len(split("a" + c)) == 1 else "1" if len(split("1" + c)) == 1 else "!" for c in odd}
             runs, start = [], None
             for a, b in zip(odd, [*odd[1:], None], strict=True):
@@ -121,7 +138,7 @@ def merge_rounds(vocab: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
     which = np.flatnonzero(lens)
     sym = vocab.byte_id[np.frombuffer(b"".join(words), np.uint8)]
     lens = lens[which]
-    keys, ranks, new = vocab.pair_keys, vocab.pair_ranks, vocab.pair_new
+    keys, ranks, new = vocab.pairs
     while len(which):
         starts = np.cumsum(lens) - lens
         key = np.empty(len(sym), np.int64)

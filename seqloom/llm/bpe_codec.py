@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import Vocabulary, chunks, merge_rounds, vocabulary
-from .common import beside, column, pieces, with_columns
+from .common import beside, column, give_back, pieces, with_columns
 
-CACHE = 400_000  # pieces a worker remembers between batches; only speed depends on it
-STEP = 2 << 20  # bytes of text whose new words share the merge rounds
+CACHE = 150_000  # pieces a worker remembers between batches; only speed depends on it
+STEP = 1 << 20  # bytes of text whose new words share the merge rounds
 
 
 class Encoder:
@@ -67,6 +67,8 @@ def _encoder(path: str, names: list[str]):
                 part = batch.slice(a, b - a)
                 ids = enc.encode([t or "" for t in part.column(0).to_pylist()])
                 yield with_columns(part, names, pa.array(ids, pa.binary()))
+        del enc
+        give_back()
 
     return run
 
@@ -75,10 +77,11 @@ def _decoder(path: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = vocabulary(path).token_bytes.__getitem__
         for batch in batches:
-            for a, b in pieces(batch, 0, 4 * STEP):
+            for a, b in pieces(batch, 0, 2 * STEP):
                 part = batch.slice(a, b - a)
                 texts = [b"".join(map(get, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") if x else "" for x in part.column(0).to_pylist()]
                 yield with_columns(part, names, pa.array(texts, pa.string()))
+        give_back()
 
     return run
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -83,9 +86,11 @@ def beside(df: DataFrame, col: str, keep: Iterable[str], *added: tuple[str, T.Da
     Python code takes the columns by position, so no name can clash; added
     names that `keep` has already get leading underscores.
     """
-    narrow = df.select(column(df, col), *[column(df, c) for c in keep])
-    names = free_names(narrow.select(*[column(df, c) for c in keep]), *[n for n, _ in added]) if added else []
-    return narrow, T.StructType([*narrow.schema.fields[1:], *[T.StructField(n, t) for n, (_, t) in zip(names, added, strict=True)]])
+    kept = [column(df, c) for c in keep]
+    fields = df.select(*kept).schema.fields
+    narrow = df.select(column(df, col).alias("c"), *[c.alias(f"c{i}") for i, c in enumerate(kept)])
+    names = free_names(df.select(*kept), *[n for n, _ in added])
+    return narrow, T.StructType([*fields, *[T.StructField(n, t) for n, (_, t) in zip(names, added, strict=True)]])
 
 
 def with_columns(part: pa.RecordBatch, names: list[str], *cols: pa.Array) -> pa.RecordBatch:
@@ -93,6 +98,14 @@ def with_columns(part: pa.RecordBatch, names: list[str], *cols: pa.Array) -> pa.
     return pa.RecordBatch.from_arrays([*part.columns[1:], *cols], names=names)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: an idle Python worker otherwise keeps what its last task needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than GNU's
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batch: pa.RecordBatch, col: str | int, size: int) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose `col` holds about `size` bytes each; a longer row stands alone."""
     lens = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside, column, pieces, with_columns
+from .common import beside, column, give_back, pieces, with_columns
 
 WORDS = regex.compile(r"\p{L}+")
 TABLE = 1 << 18  # hashed trigrams
@@ -26,8 +26,9 @@ SMOOTH = 0.05
 SWITCH = 12.0  # what a change of language costs, in natural log
 FOREIGN = 30.0  # what a word costs a language that doesn't write its script
 SHARE = 0.01  # of a language's letters, for a script to be one of its own
-STEP = 4 << 20
-CACHE = 400_000
+STEP = 2 << 20
+CACHE = 150_000
+NEW = 20_000  # words scored at once
 
 # First code points of script ranges, and the scripts' names.
 SCRIPTS = [
@@ -175,7 +176,8 @@ def _label(shared, names: list[str]):
                 if new and model.langs:
                     while fill + len(new) > len(table):
                         table = np.concatenate([table, np.empty_like(table)])
-                    table[fill : fill + len(new)] = model.score(new)
+                    for k in range(0, len(new), NEW):
+                        table[fill + k : fill + min(k + NEW, len(new))] = model.score(new[k : k + NEW])
                     known.update(zip(new, range(fill, fill + len(new)), strict=True))
                     fill += len(new)
                 lens = np.fromiter(map(len, found), np.int64, len(found))
@@ -197,6 +199,8 @@ def _label(shared, names: list[str]):
                         pred[i], score[i] = model.langs[top[i]], float(weight[i, top[i]] / weight[i].sum())
                 spans = pa.array([[{"lang": s[0], "first_word": s[1], "n_words": s[2]} for s in x] for x in spans], SPANS)
                 yield with_columns(part, names, pa.array(pred, pa.string()), pa.array(score, pa.float64()), spans)
+        known.clear()
+        give_back()
 
     return run
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import column, free_names, partitions_for, pieces, written
 
@@ -30,7 +31,7 @@ PROBES = 4
 MIN_BITS, MAX_BITS = 16, 28  # powers of two
 BITS_A_LINE = 10
 SEGMENT = 17  # bytes, as a power of two
-STEP = 4 << 20
+STEP = 2 << 20
 
 
 def line_key(line: str) -> str:
@@ -93,7 +94,7 @@ def _fill(bits: int, least: int):
         for batch in batches:
             for t in batch.column(0):
                 held += long_keys(t.as_py(), least)
-                if len(held) > 50_000:
+                if len(held) > 20_000:
                     note(held)
                     held = []
         if held:
@@ -152,26 +153,26 @@ def _suspects(shared, bits: int, least: int):
     return run
 
 
-def _drop(text: str, gone: str, lines: str, dropped: str):
+def _drop(names: list[str], text: int):
+    """Rows without their lines of the keys in the first column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in pieces(batch, text, STEP):
                 part = batch.slice(a, b - a)
-                names = part.schema.names
                 kept, n, d = [], [], []
-                for t, keys in zip(part.column(text), part.column(gone), strict=True):
-                    all_lines = (t.as_py() or "").split("\n")
+                for t, keys in zip(part.column(text), part.column(0), strict=True):
+                    lines = (t.as_py() or "").split("\n")
                     keys = keys.as_py()
+                    left = lines
                     if keys:
-                        keys = set(keys)
-                        left = [x for x in all_lines if line_key(x) not in keys]
-                    else:
-                        left = all_lines
+                        gone = set(keys)
+                        left = [x for x in lines if line_key(x) not in gone]
                     kept.append("\n".join(left))
-                    n.append(len(all_lines))
-                    d.append(len(all_lines) - len(left))
-                cols = [pa.array(kept, pa.string()) if x == text else part.column(x) for x in names if x != gone]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=[*[x for x in names if x != gone], lines, dropped])
+                    n.append(len(lines))
+                    d.append(len(lines) - len(left))
+                cols = [pa.array(kept, pa.string()) if k == text else c for k, c in enumerate(part.columns)][1:]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=names)
 
     return run
 
@@ -202,10 +203,12 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         "repeated",
     )
     lost = suspects.join(repeated, "key").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy(F.col("id").alias(ref)).agg(F.collect_set("key").alias(gone))
-    whole = df.withColumn(text_col, column(df, text_col).cast("string"))
-    joined = whole.join(lost, column(whole, id_col).cast("long").eqNullSafe(lost[ref]), "left").drop(ref)
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in [f for f in joined.schema if f.name != gone])
-    return joined.mapInArrow(_drop(text_col, gone, lines, dropped), f"{schema}, `{lines}` bigint, `{dropped}` bigint")
+    at = df.columns.index(text_col)
+    plain = df.select(*[column(df, c).cast("string").alias(f"c{k}") if k == at else column(df, c).alias(f"c{k}") for k, c in enumerate(df.columns)])
+    joined = plain.join(lost, plain[f"c{df.columns.index(id_col)}"].cast("long").eqNullSafe(lost[ref]), "left").select(lost[gone], *[plain[c] for c in plain.columns])
+    fields = [T.StructField(f.name, T.StringType()) if k == at else f for k, f in enumerate(df.schema.fields)]
+    schema = T.StructType([*fields, T.StructField(lines, T.LongType()), T.StructField(dropped, T.LongType())])
+    return joined.mapInArrow(_drop(schema.names, at + 1), schema)
 
 
 ORACLE_SQL = """

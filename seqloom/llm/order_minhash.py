@@ -36,13 +36,13 @@ from .common import column, id_text, partitions_for, written
 from .components import components
 
 SHINGLE, ORDERED, BANDS = 5, 2, 32
-AGREE, ABSORB = 2, 6
+AGREE, ABSORB = 2, 4
 STRONG = 12
 SIMILAR = 0.8
 CHUNK = 20_000  # rows whose copies fold before the shuffle
 WIDE = 200_000  # shingles times bands at once
 PER_TASK = 500  # texts aligned with one copy of a leader
-CACHE = 500_000
+CACHE = 150_000
 
 _rng = np.random.default_rng(20_240_501)
 FACTORS = _rng.integers(1, 1 << 62, BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,40 +103,53 @@ def order_sketch(words: np.ndarray) -> np.ndarray:
     return mixed(out + np.arange(BANDS, dtype=np.uint64))
 
 
-def _diagonal(a: np.ndarray, b: np.ndarray, k: int) -> tuple[list[int], int]:
-    low, high = max(0, -k), min(len(a), len(b) - k)
-    return (np.flatnonzero(a[low:high] != b[low + k : high + k]) + low).tolist() if high > low else [], high
-
-
 def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
-    """The edit distance of two sequences if it is `limit` or less: furthest points on the diagonals of the band, edit by edit."""
+    """The edit distance of two sequences if it is `limit` or less, by bit vectors over the band of diagonals.
+
+    A column's vertical differences within `limit` of the main diagonal stand
+    in two integers, which slide down by one row a column. Memory is that of a
+    few integers of len(a) bits, whatever the distance.
+    """
     n, m = len(a), len(b)
-    goal = m - n
-    if abs(goal) > limit:
+    if abs(m - n) > limit:
         return None
-    differ: dict[int, tuple[list[int], int]] = {}
-    before: dict[int, int] = {}
-    for e in range(limit + 1):
-        now: dict[int, int] = {}
-        left = limit - e
-        for k in range(max(-e, goal - left), min(e, goal + left) + 1):
-            if e == 0:
-                i = 0
-            else:
-                i = max(before.get(k, -2) + 1, before.get(k - 1, -2), before.get(k + 1, -2) + 1)
-                if i < 0:
-                    continue
-                i = min(i, n, m - k)
-            if k not in differ:
-                differ[k] = _diagonal(a, b, k)
-            places, end = differ[k]
-            at = bisect_left(places, i)
-            i = places[at] if at < len(places) else max(i, end)
-            if k == goal and i >= n:
-                return e
-            now[k] = i
-        before = now
-    return None
+    where: dict[int, int] = {}
+    words = a.tolist()
+    if limit >= min(n, m):  # the band holds everything
+        for i, w in enumerate(words):
+            where[w] = where.get(w, 0) | 1 << i
+        full, up, down, d = (1 << n) - 1, (1 << n) - 1, 0, n
+        if not n:
+            return m
+        for w in b.tolist():
+            x = where.get(w, 0)
+            zero = (((x & up) + up) ^ up) | x | down
+            right, left = down | ~(zero | up) & full, zero & up
+            d += (right >> n - 1 & 1) - (left >> n - 1 & 1)
+            right = (right << 1 | 1) & full
+            up, down = (left << 1 | ~(zero | right)) & full, right & zero
+        return d if d <= limit else None
+    size = 2 * limit + 2
+    full, top = (1 << size) - 1, size - 1
+    for i, w in enumerate(words):
+        where[w] = where.get(w, 0) | 1 << (i + size)  # so that every window is a shift to the right
+    up, down, d = full & ~((1 << top - limit) - 1), 0, limit
+    most = 2 * limit + m - n
+    at = top - 1
+    for j, w in enumerate(b.tolist()):
+        x = where.get(w, 0) >> (j + limit + 1) & full
+        zero = ((((x & up) + up) ^ up) | x | down) & full
+        right, left = (down | ~(zero | up)) & full, zero & up
+        if j < n - limit:
+            d += not zero >> top & 1
+            if d > most:
+                return None
+        else:
+            d += (right >> at & 1) - (left >> at & 1)
+            at -= 1
+        zero >>= 1
+        up, down = (left | ~(zero | right)) & full, zero & right
+    return d if d <= limit else None
 
 
 def _chain(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import chunks, heap_count, vocabulary
-from .common import beside, column, with_columns
+from .common import beside, column, give_back, with_columns
 
-CACHE = 600_000  # pieces a worker remembers; only speed depends on it
+CACHE = 300_000  # pieces a worker remembers; only speed depends on it
 
 
 class Counter(dict):
@@ -57,6 +57,8 @@ def _counts(path: str, names: list[str], limit: int):
             size = pc.fill_null(pc.binary_length(batch.column(0)), 0).cast(pa.int64())
             n = pa.array([counter.count(t.as_py() or "") for t in batch.column(0)], pa.int64())
             yield with_columns(batch, names, size, n, pc.greater(n, limit))
+        del counter
+        give_back()
 
     return run
 
