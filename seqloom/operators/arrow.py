@@ -22,4 +22,4 @@ def add_columns(df: DataFrame, inputs: Sequence[str], outputs: Sequence[tuple[st
             made = kernel([batch.column(i) for i in at])
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep_at], *made], names=out_names)
 
-    return df.mapInArrow(run, T.StructType([*kept, *[T.StructField(n, t) for n, t in outputs]]))
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, T.StructType([*kept, *[T.StructField(n, t) for n, t in outputs]]))

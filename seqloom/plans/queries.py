@@ -402,9 +402,24 @@ demux_query("demux_with_offset", demux.Demux(samples(), ONE, offset=2), True, 2)
 demux_query("demux_single_only", demux.Demux(samples(False), Search(Budget(4)), single_only=True), False, 0, True)
 
 
-@query("demux_indels")
+def indel_sql(pattern: str, budget: int, seq: str, e: str, least: str) -> str:
+    """The edits of the best alignment of a pattern that ends at base e and starts at base `least` or later."""
+    return f"list_min(list_transform(range(0, length({pattern}) + {budget} + 1), lambda l: CASE WHEN {e} - l + 1 < {least} THEN 99 ELSE levenshtein({pattern}, substr({seq}, CAST({e} - l + 1 AS INT), CAST(l AS INT))) END))"
+
+
+@query(
+    "demux_indels",
+    f"""SELECT r.ord, sample, CAST(barcode_end AS INT) AS barcode_end, CAST(enzyme_end AS INT) AS enzyme_end, CAST(edits AS INT) AS edits FROM reads r LEFT JOIN (
+      SELECT ord, name AS sample, e AS barcode_end, g AS enzyme_end, edits, row_number() OVER (PARTITION BY ord ORDER BY edits, i, e) AS best FROM (
+        SELECT *, row_number() OVER (PARTITION BY ord, i, e ORDER BY z, g) AS k FROM (
+          SELECT *, {indel_sql("'" + REMNANT + "'", 1, "f_seq", "g", "e + 1")} AS z FROM (
+            SELECT ord, f_seq, i, name, e, edits, g FROM (
+              SELECT ord, f_seq, i, name, e, {indel_sql("barcode", 1, "f_seq", "e", "1")} AS edits FROM reads, sheet, unnest(range(6, 8)) AS x(e)) b, unnest(range(e + 1, e + 7)) AS y(g)
+            WHERE edits <= 1 AND g <= length(f_seq)))
+        WHERE z <= 1) WHERE k = 1) s ON s.ord = r.ord AND best = 1""",
+    _SHEET_SQL,
+)
 def demux_indels(spark: SparkSession, d: str) -> DataFrame:
-    """With indels, tested against an alignment of each pair of read and sample."""
     return demux.demux(reads(spark, d, "f_seq", "f_qual"), demux.Demux(samples(), Search(Budget(1), indels=True))).select("ord", "sample", "barcode_end", "enzyme_end", "edits")
 
 

@@ -6,7 +6,7 @@ import gzip
 import io
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -70,12 +70,21 @@ def read_fastq(spark: SparkSession, path: str, strict: bool = False) -> DataFram
 
 
 def read_fastq_text(spark: SparkSession, path: str) -> DataFrame:
-    """The same records of any file that Spark reads (object stores, folders): file, ord, header, seq, qual.
+    """The same records of any files that Spark reads (object stores, folders), however large: file, ord, header, seq, qual.
 
-    Lines are numbered within a file, so each file is one row of Spark's text
-    reader; cut very large files before.
+    Plain files are read in splits. A first pass over them counts each split's
+    lines, which tells where the numbers of its lines start; lines then meet by
+    record. A record's quality may begin with @, so numbers alone decide what a
+    line is. Compressed files are one split each.
     """
-    return records_of(spark.read.text(path, wholetext=True))
+    meta = lambda k: F.col(f"_metadata.{k}").alias(k)
+    lines = spark.read.text(path).select(meta("file_path"), meta("file_block_start"), F.monotonically_increasing_id().alias("at"), "value")
+    order = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file_path", "file_block_start").agg(F.min("at").alias("first"), F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    numbered = lines.join(splits, ["file_path", "file_block_start"]).select("file_path", (F.col("before") + F.col("at") - F.col("first")).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
+    part = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
+    met = numbered.groupBy(F.col("file_path").alias("file"), F.floor(F.col("line") / 4).alias("ord")).agg(part(0).alias("header"), part(1).alias("seq"), part(3).alias("qual"), F.count("*").alias("n"))
+    return met.where("n = 4").drop("n")
 
 
 def records_of(whole: DataFrame) -> DataFrame:

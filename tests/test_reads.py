@@ -29,6 +29,14 @@ def test_fastq_source_reads_plain_gzip_and_ragged_files(spark, tmp_path):
     got = fastq.read_fastq(spark, str(tmp_path / "a.fastq")).orderBy("ord").collect()
     assert [tuple(r) for r in got] == [(0, "@r0", "ACGT", "IIII"), (1, "@r1", "", ""), (2, "@r2", "AC", "II")]
     assert fastq.read_fastq(spark, str(tmp_path / "b.FASTQ.GZ")).first()["seq"] == "TT"
+    records = [(i, f"@r{i}", "ACGTN"[: 1 + i % 5], "@IIII"[: 1 + i % 5]) for i in range(500)]
+    (tmp_path / "big.fastq").write_text("".join(f"{h}\r\n{s}\r\n+\r\n{q}\r\n" for _, h, s, q in records))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        split = fastq.read_fastq_text(spark, str(tmp_path / "*.fastq")).where("file like '%big%'").orderBy("ord").drop("file")
+        assert [tuple(r) for r in split.collect()] == records
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     text = fastq.read_fastq_text(spark, str(tmp_path / "a.fastq")).orderBy("ord").drop("file").collect()
     assert [tuple(r) for r in text] == [tuple(r) for r in got]
 
