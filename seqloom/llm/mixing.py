@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import column, free_names, partitions_for
 
 STEP = 16.0  # a Poisson number of a larger mean is the sum of independent ones of this mean at most
+FEW_SOURCES = 10_000  # 8 MB of rates and distributions
 TERMS = 80  # of the distribution function; at mean 16 what is left lies far below 2**-52
 
 
@@ -75,6 +76,8 @@ def mix_sources(
     """
     copy, copies, key = free_names(df, "copy", "n_copies", "mix_key")
     rates = source_rates(df, column(df, source_col).cast("string"), weights, alpha, epochs)
+    if rates.count() <= FEW_SOURCES:  # else a join by source, whose large partitions Spark splits
+        rates = F.broadcast(rates)
     rated = df.join(rates, column(df, source_col).cast("string").eqNullSafe(rates["__key"]))
     ident = F.coalesce(column(df, id_col).cast("string"), F.lit("null"))
     draw = lambda i: F.size(F.filter(F.col("__cdf"), lambda c: c <= uniform(F.lit(str(seed)), ident, i.cast("string"))))
