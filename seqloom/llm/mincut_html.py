@@ -41,15 +41,15 @@ ENDS_P = BLOCK - {"p", "button", "caption", "td", "th", "tr", "tbody", "thead",
 OFF_TAGS = frozenset("nav footer aside form menu dialog head button select fieldset".split())
 ON_TAGS = frozenset("article main".split())
 OFF_WORDS = re.compile(
-    r"(?:^|[\s_\-])(?:ads?|adv|adverts?|advertis\w+|sponsor\w*|promo\w*|cookies?|consent|gdpr|privacy|notices?|alerts?|notifications?|banner|"
-    r"sidebar|sidenav|side|aside|widgets?|complementary|menus?|menubar|nav|navbar|navigation|breadcrumbs?|foot|footer|contentinfo|head|header|masthead|topbar|"
-    r"comments?|commentlist|repl(?:y|ies)|respond|discussion|disqus|feedback|social|share|sharing|related|recommend\w*|popup|modal|overlay|dialog|"
+    r"(?:^|[\s_\-])(?:ads?|adv|adverts?|advertis\w+|ad(?:box|sense|banner|slot|unit|wrap|wrapper|container)s?|sponsor\w*|promo\w*|cookies?|consent|gdpr|privacy|notices?|alerts?|notifications?|banner|"
+    r"sidebar|sidenav|side|aside|widgets?|complementary|menus?|menubar|\w*nav|navbar|navigation|breadcrumbs?|foot|footer|contentinfo|head|header|masthead|topbar|"
+    r"\w*comments?|commentlist|repl(?:y|ies)|respond|discussion|disqus|feedback|social|share|sharing|related|recommend\w*|popup|modal|overlay|dialog|"
     r"newsletter|subscribe|subscription|signup|signin|login|register|search|form|pager|pagination|toolbar|copyright|legal|disclaimer|skip|tags|meta)(?=$|[\s_\-]|\d)",
     re.IGNORECASE,
 )
 ON_WORDS = re.compile(r"(?:^|[\s_\-])(?:articles?|articlebody|post|entry|story|content|main|maintext)(?=$|[\s_\-]|\d)", re.IGNORECASE)
 MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|(?<![\w:-])(?<!: )hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 
 # The classifier's weights, and the capacities between blocks.
 MARKED_ON, MARKED_OFF = 60, -90
@@ -62,12 +62,12 @@ def mark(name: str, attrs: str) -> int:
     if len(attrs) > 3:
         if HIDDEN.search(attrs):
             return -1
-        words = " ".join(a or b or c for a, b, c in MARKS.findall(attrs))
-        if words and name not in ("html", "body"):
-            if OFF_WORDS.search(words):
-                return -1
-            if ON_WORDS.search(words):
-                return 1
+        if name not in ("html", "body"):
+            for word in " ".join(a or b or c for a, b, c in MARKS.findall(attrs)).split():  # "content with-sidebar" is content
+                if OFF_WORDS.search(word):
+                    return -1
+                if ON_WORDS.search(word):
+                    return 1
     return -1 if name in OFF_TAGS else 1 if name in ON_TAGS else 0
 
 
