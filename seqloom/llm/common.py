@@ -119,6 +119,15 @@ def pieces(batch: pa.RecordBatch, col: str | int, size: int) -> Iterator[tuple[i
         yield start, len(lens)
 
 
+def dealt_anew(col: str):
+    """An integer column as an expression that hides how its rows are dealt.
+
+    A join of rows with an aggregate over the same key otherwise keeps the
+    aggregate's partitions, and Spark can't split a frequent key's rows there.
+    """
+    return F.col(col).bitwiseXOR(F.lit(0).cast("bigint")).alias(col)
+
+
 def partitions_for(spark: SparkSession, floor: int = 1) -> int:
     """The session's number of shuffle partitions, `floor` at least."""
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -11,6 +11,8 @@ only if the texts agree in content and in order, that is, in edit distance.
    whose sketch agrees in ABSORB values or more; texts that differ more are
    compared with every leader. So a bucket of copies costs a row for each of
    them, no pairs, and a hot bucket arrives as one leader or a few a chunk.
+   Pairs whose lengths or word histograms differ by more than the similarity
+   allows are none: an edit changes two counts by one, so none is lost.
 3. Candidates that share AGREE values are aligned word by word in a band as
    wide as the similarity allows (1 - edits / words of the longer >= 0.8): at
    first along the words that both texts have once, which proves most links;
@@ -32,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_of, bloom_positions, bloom_test
-from .common import column, id_text, partitions_for, written
+from .common import column, dealt_anew, id_text, partitions_for, written
 from .components import components
 
 SHINGLE, ORDERED, BANDS = 5, 2, 32
 AGREE, ABSORB = 2, 4
 STRONG = 12
+BUCKETS = 96  # of a text's word histogram
 SIMILAR = 0.8
 CHUNK = 20_000  # rows whose copies fold before the shuffle
 WIDE = 200_000  # shingles times bands at once
@@ -103,6 +106,11 @@ def order_sketch(words: np.ndarray) -> np.ndarray:
     return mixed(out + np.arange(BANDS, dtype=np.uint64))
 
 
+def histogram(words: np.ndarray) -> np.ndarray:
+    """Numbers of words by hash, 255 at most."""
+    return np.minimum(np.bincount((words >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8)
+
+
 def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     """The edit distance of two sequences if it is `limit` or less, by bit vectors over the band of diagonals.
 
@@ -212,18 +220,22 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float | Non
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids = WordIds()
     for batch in batches:
-        digest, n, sketch = [], [], []
+        digest, n, sketch, counts = [], [], [], []
         for t in batch.column(1):
             text = t.as_py() or ""
             words = ids.of(text)
             digest.append(xxhash.xxh3_128_digest(text))
             n.append(len(words))
             sketch.append(order_sketch(words).astype("<u8").tobytes() if len(words) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary())], names=["id", "digest", "n", "sketch"])
+            counts.append(histogram(words).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), pa.array(counts, pa.binary())], names=["id", "digest", "n", "sketch", "counts"])
 
 
 def gather(ids: np.ndarray, n: np.ndarray, small: np.ndarray) -> tuple[list[tuple[int, int, bool]], np.ndarray]:
-    """Candidate pairs of one bucket as positions (leader, text, absorbed), and the positions of its leaders."""
+    """Candidate pairs of one bucket as positions (leader, text, absorbed), and the positions of its leaders.
+
+    `small` has the low bytes of the sketch and the word histogram.
+    """
     left = np.argsort(ids, kind="stable")
     pairs, leaders = [], []
     while len(left):
@@ -231,8 +243,11 @@ def gather(ids: np.ndarray, n: np.ndarray, small: np.ndarray) -> tuple[list[tupl
         leaders.append(lead)
         if not len(left):
             break
-        agree = (small[left] == small[lead]).sum(axis=1)
-        fits = np.minimum(n[left], n[lead]) >= SIMILAR * np.maximum(n[left], n[lead]) - 1e-9
+        agree = (small[left, :BANDS] == small[lead, :BANDS]).sum(axis=1)
+        longer = np.maximum(n[left], n[lead])
+        limit = np.floor((1 - SIMILAR) * longer + 1e-9)
+        fits = longer - np.minimum(n[left], n[lead]) <= limit
+        fits[fits] = np.abs(small[left[fits], BANDS:].astype(np.int16) - small[lead, BANDS:].astype(np.int16)).sum(axis=1) <= 2 * limit[fits]
         found, absorbed = fits & (agree >= AGREE), fits & (agree >= ABSORB)
         pairs += [(int(lead), int(i), bool(x)) for i, x in zip(left[found], absorbed[found], strict=True)]
         left = left[~absorbed]
@@ -273,7 +288,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).sort_by("id")
         ids, n = table["id"].to_numpy(), table["n"].to_numpy()
         full = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u8").reshape(-1, BANDS)
-        small = full.astype(np.uint16)
+        small = np.concatenate([full.astype(np.uint8), np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8).reshape(-1, BUCKETS)], axis=1)
         packed = pa.array([s.tobytes() for s in small], pa.binary())
         joined, seen = Joined(len(ids)), set()
         for band in range(BANDS):
@@ -289,7 +304,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     a, b = int(group[a]), int(group[b])
                     if joined.root(a) == joined.root(b) or (a, b) in seen:
                         continue
-                    if absorbed and (small[a] == small[b]).sum() >= STRONG:
+                    if absorbed and (small[a, :BANDS] == small[b, :BANDS]).sum() >= STRONG:
                         joined.join(a, b)
                     seen.add((a, b))
                     pairs.append((a, b))
@@ -328,7 +343,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(cut, append=len(key))
         pairs: list[tuple[int, int]] = []
         for c, s in zip(cut[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-            sketch = np.frombuffer(b"".join(small.slice(c, s).to_pylist()), "<u2").reshape(s, BANDS)
+            sketch = np.frombuffer(b"".join(small.slice(c, s).to_pylist()), np.uint8).reshape(s, BANDS + BUCKETS)
             pairs += [(int(ids[c + a]), int(ids[c + b])) for a, b, _ in gather(ids[c : c + s], n[c : c + s], sketch)[0]]
             if len(pairs) > 50_000:
                 yield _ends(pairs)
@@ -391,10 +406,10 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """a, b, similarity of verified links between different texts; ids stand for all their exact copies."""
     spark = docs.sparkSession
     n = partitions_for(spark)
-    distinct = sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("x")).select("x.*")
+    distinct = sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "sketch", "counts")).alias("x")).select("x.*")
     met = distinct.mapInArrow(_fold, OUT).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet, "lead bigint, id bigint")
     pairs = written(met.where("lead <> id").select(F.least("lead", "id").alias("lead"), F.greatest("lead", "id").alias("id")).distinct(), "pairs")
-    shares = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).alias("shares"))
+    shares = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).alias("shares")).select(dealt_anew("lead"), "shares")
     members = pairs.join(shares, "lead").select("lead", F.pmod(F.xxhash64("id"), F.col("shares")).alias("salt"), F.col("id").alias("doc"))
     heads = members.select("lead", "salt").distinct().select("lead", "salt", F.col("lead").alias("doc"))
     routes = heads.withColumn("first", F.lit(True)).union(members.withColumn("first", F.lit(False)))
@@ -416,9 +431,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of all its texts. Rows with a null id are in no class: class_id is null.
     """
     every = id_text(df, id_col, text_col)
-    sketches = written(every.where("id is not null").mapInArrow(_sketch, "id bigint, digest binary, n int, sketch binary"), "sketches")
+    sketches = written(every.where("id is not null").mapInArrow(_sketch, "id bigint, digest binary, n int, sketch binary, counts binary"), "sketches")
     links = near_links(every.where("id is not null"), sketches).select("a", "b")
-    own = sketches.groupBy("digest").agg(F.min("id").alias("rep"))
+    own = written(sketches.groupBy("digest").agg(F.min("id").alias("rep")), "copies")
     copies = sketches.select("id", "digest").join(own, "digest").select("id", "rep")
     doubled = copies.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most")
     again = copies.join(doubled.select("id"), "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))  # ids of several texts
