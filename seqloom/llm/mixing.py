@@ -80,8 +80,8 @@ def mix_sources(
         rates = F.broadcast(rates)
     rated = df.join(rates, column(df, source_col).cast("string").eqNullSafe(rates["__key"]))
     ident = F.coalesce(column(df, id_col).cast("string"), F.lit("null"))
-    draw = lambda i: F.size(F.filter(F.col("__cdf"), lambda c: c <= uniform(F.lit(str(seed)), ident, i.cast("string"))))
-    number = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda s, i: s + draw(i))
+    draws = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda i: uniform(F.lit(str(seed)), ident, i.cast("string")))
+    number = F.aggregate(draws, F.lit(0), lambda s, u: s + F.size(F.filter(F.col("__cdf"), lambda c: c <= u)))
     drawn = rated.withColumn(copies, number).drop("__key", "__rate", "__parts", "__cdf").where(F.col(copies) > 0)
     each = drawn.select("*", F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy))
     keyed = each.withColumn(key, F.md5(F.concat_ws("|", F.lit(f"order{seed}"), ident, F.col(copy).cast("string"))))
