@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.scalars import duration_text
 from .operators import stats
 from .operators.demux import Demux, Sample
 from .operators.kernels import FULL, Adapter, Budget, Search
@@ -110,13 +112,25 @@ def write_reads(done: DataFrame, a: argparse.Namespace, config: Config) -> None:
     mates = [m for m in ("f", "r") if f"{m}_seq" in done.columns and not (m == "r" and config.merge)]
     kept = done if config.dedup is None else done.where("duplicate is null and not kept or not duplicate")
     for m in [*mates, *[i for i in ("i1", "i2") if f"{i}_header" in done.columns]]:
-        header = f"{m}_header" if f"{m}_header" in done.columns else "f_header"
-        fastq.write_fastq(kept, f"{a.out}/{m}", ["sample"], header, f"{m}_seq", f"{m}_qual", gz=a.gzip, mode=mode)
-        if config.dedup is not None and a.save_dup:
-            fastq.write_fastq(done.where("duplicate"), f"{a.out}/dup/{m}", ["sample"], header, f"{m}_seq", f"{m}_qual", gz=True, mode=mode)
+        fastq.write_fastq(kept, f"{a.out}/{m}", ["sample"], f"{m}_header", f"{m}_seq", f"{m}_qual", gz=a.gzip, mode=mode)
+    if config.dedup is not None and a.save_dup:
+        again = done.where("duplicate")
+        if "r" in mates:
+            fastq.write_pairs(again, f"{a.out}/dup", ["sample"], gz=True, mode=mode)
+        else:
+            fastq.write_fastq(again, f"{a.out}/dup", ["sample"], "f_header", "f_seq", "f_qual", gz=True, mode=mode)
+
+
+def write_log(spark: SparkSession, a: argparse.Namespace, shared: DataFrame, began: float) -> None:
+    """Parameters, run time and totals."""
+    total = shared.where("sample = 'Total'").first()
+    lines = [f"{k}: {v}" for k, v in sorted(vars(a).items())]
+    lines += [f"Run time: {duration_text(1000 * (time.time() - began))}", f"Reads: {total['reads'] if total else 0}", f"Lines: {4 * total['reads'] if total else 0}"]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite" if a.clear_dir else "errorifexists").text(f"{a.out}/log")
 
 
 def run_process(spark: SparkSession, a: argparse.Namespace) -> None:
+    began = time.time()
     if (a.dedup_first or a.dedup_best) and not a.index:
         raise SystemExit("deduplication needs index reads (-i)")
     files = [fastq.read_fastq(spark, f, a.strict) for f in [*a.reads[:2], *a.index[:2]]]
@@ -127,8 +141,10 @@ def run_process(spark: SparkSession, a: argparse.Namespace) -> None:
     done = process(df, config)
     write_reads(done, a, config)
     sheet = {s.name: (s.barcode, s.r_barcode) for s in samples}
-    lines = stats.report(statistics(done), sheet).coalesce(1).sortWithinPartitions("n")  # one line a sample
+    shared = statistics(done)
+    lines = stats.report(shared, sheet).coalesce(1).sortWithinPartitions("n")  # one line a sample
     lines.select("line").write.mode("overwrite" if a.clear_dir else "errorifexists").text(f"{a.out}/stats")
+    write_log(spark, a, shared, began)
 
 
 def run_simulate(spark: SparkSession, a: argparse.Namespace) -> None:

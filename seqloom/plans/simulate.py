@@ -25,8 +25,11 @@ def random_bases(size: int, seed: int, *parts: Column | str) -> Column:
     return F.substring(F.concat(*blocks), 1, size)
 
 
-def simulate_reads(spark: SparkSession, n: int, d: Demux, seed: int, length: int = 100, adapter: Adapter | None = None, correct: float = 0.9, with_adapter: float = 0.7, umi: int | None = None) -> DataFrame:
-    """ord, header, f_seq, f_qual, i1_seq (barcode and UMI, if asked for) and expected, the sample or Undetermined.
+def simulate_reads(spark: SparkSession, n: int, d: Demux, seed: int, length: int = 100, adapter: Adapter | None = None, correct: float = 0.9, with_adapter: float = 0.7, overlap: int = 3, umi: int | None = None) -> DataFrame:
+    """ord, header, f_seq, f_qual, i1_seq (barcode and UMI, if asked for), expected, the sample or Undetermined, and has_adapter.
+
+    A share `with_adapter` of the reads ends with the beginning of the adapter:
+    half of them with `overlap` bases of it or more (has_adapter), half with less.
 
     A share `correct` of the reads has its sample's barcode and first enzyme
     remnant; the others have random bases in their place, so a few of them may
@@ -41,14 +44,19 @@ def simulate_reads(spark: SparkSession, n: int, d: Demux, seed: int, length: int
     noise = random_bases(64, seed, "noise", k)
     head_used = F.when(right, head).otherwise(F.substr(noise, F.lit(1), F.length(head)))
     tail_used = F.when(right, tail).otherwise(F.substr(noise, F.lit(33), F.length(tail)))
-    end = F.when(share(seed, "adapter", k) < with_adapter, F.lit(adapter.seq)).otherwise(F.lit("")) if adapter else F.lit("")
+    size = len(adapter.seq) if adapter else 0
+    least = min(overlap, size)
+    whole = share(seed, "whole", k) < 0.5
+    shown = F.when(whole, least + F.floor(share(seed, "size", k) * (size - least + 1))).otherwise(F.floor(share(seed, "size", k) * least)).cast("int")
+    cut = F.when(share(seed, "adapter", k) < with_adapter, shown).otherwise(F.lit(0)) if adapter else F.lit(0)
+    end = F.substr(F.lit(adapter.seq), F.lit(1), cut) if adapter else F.lit("")
     insert = random_bases(length, seed, "insert", k)
     made = spark.range(n).select(F.col("id").alias("ord"), F.concat(F.lit("@sim"), "id").alias("header"))
     if umi is not None:
         made = made.withColumn("i1_seq", F.concat(head_used, random_bases(umi, seed, "umi", k))).withColumn("f_seq", F.concat(insert, end))
     else:
         made = made.withColumn("f_seq", F.concat(head_used, tail_used, insert, end))
-    return made.withColumn("f_qual", F.repeat(F.lit("A"), F.length("f_seq"))).withColumn("expected", F.when(right, pick([s.name for s in d.samples])).otherwise(F.lit("Undetermined")))
+    return made.withColumn("f_qual", F.repeat(F.lit("A"), F.length("f_seq"))).withColumn("expected", F.when(right, pick([s.name for s in d.samples])).otherwise(F.lit("Undetermined"))).withColumn("has_adapter", (cut >= least) & (cut > 0))
 
 
 def simulate_pairs(spark: SparkSession, n: int, seed: int, length: int = 100, overlap: int = 20, edits: int = 1) -> DataFrame:

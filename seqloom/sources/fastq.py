@@ -117,6 +117,13 @@ def write_fastq(df: DataFrame, path: str, by: list[str], header: str = "header",
     ordered.write.mode(mode).partitionBy(*by).option("compression", "gzip" if gz else "none").text(path)
 
 
+def write_pairs(df: DataFrame, path: str, by: list[str], gz: bool = False, mode: str = "errorifexists") -> None:
+    """As `write_fastq`, forward and reverse reads one after the other in the same file."""
+    mate = lambda k, m: F.struct(F.lit(k).alias("mate"), F.col(f"{m}_header").alias("header"), F.col(f"{m}_seq").alias("seq"), F.col(f"{m}_qual").alias("qual"))
+    each = df.select(*by, "ord", F.explode(F.array(mate(0, "f"), mate(1, "r"))).alias("x"))
+    write_fastq(each.select(*by, (F.col("ord") * 2 + F.col("x.mate")).alias("ord"), "x.header", "x.seq", "x.qual"), path, by, gz=gz, mode=mode)
+
+
 def read_sample_sheet(spark: SparkSession, path: str) -> DataFrame:
     """name, barcode, enzyme, r_enzyme and r_barcode of a sheet whose columns are parted by blanks; barcodes and enzymes in upper case."""
     part = F.split(F.trim("value"), r"\s+")

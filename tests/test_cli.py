@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 from seqloom import cli
 from seqloom.operators.kernels import Adapter, Budget, Search
 from seqloom.plans.config import Config
@@ -34,7 +36,14 @@ def test_samples_pairs_and_umis_from_the_command_line(spark, tmp_path):
     cli.main(["process", "-r", f, "-i", i, "-s", str(tmp_path / "sheet"), "-o", str(tmp_path / "out"), "-u", "4", "-dF", "--save-dup"])
     assert text_of(tmp_path / "out/f/sample=A").count("@") == 1 and text_of(tmp_path / "out/f/sample=B").count("@") == 1
     assert text_of(tmp_path / "out/f/sample=Undetermined").count("@") == 1
-    assert (tmp_path / "out/dup/f/sample=A").is_dir()
+    assert (tmp_path / "out/dup/sample=A").is_dir() and "Reads: 4" in text_of(tmp_path / "out/log")
+
+
+def test_duplicates_of_pairs_stand_side_by_side(spark, tmp_path):
+    f, r, i = fastq(tmp_path / "f.fastq", ["ACGT", "ACGA"]), fastq(tmp_path / "r.fastq", ["TTTT", "TTTA"]), fastq(tmp_path / "i.fastq", ["AAAA", "AAAA"])
+    cli.main(["process", "-r", f, r, "-i", i, "-o", str(tmp_path / "out"), "-u", "4", "-dF", "--save-dup"])
+    [path] = (tmp_path / "out/dup/sample=Kept").glob("part*")
+    assert gzip.open(path, "rt").read().split("\n")[1:8:4] == ["ACGA", "TTTA"]
 
 
 def test_simulate_from_the_command_line(spark, tmp_path):

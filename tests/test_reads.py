@@ -182,6 +182,10 @@ def test_simulated_reads_find_their_samples(spark):
     got = made.join(process(made, Config(demux=d)).select("ord", "sample"), "ord")
     assert got.where("expected <> 'Undetermined' and expected <> sample").count() == 0
     assert got.where("expected <> sample").count() < 4
+    cut = process(made, Config(adapters=(Adapter.three("AGATCGGAAGAG"),), adapter_search=Search(Budget(0), overlap=3), adapter_offset=1000))
+    both = made.join(cut.select("ord", "n_adapters"), "ord")
+    assert both.where("has_adapter").count() > 100 and both.where("has_adapter and n_adapters = 0").count() == 0
+    assert both.where("not has_adapter and n_adapters = 1").count() < 40  # random bases that look like three of the adapter
     assert simulate_reads(spark, 50, d, 5).collect() == simulate_reads(spark, 50, d, 5).collect()
 
 
@@ -200,3 +204,11 @@ def test_scalar_functions(spark):
     ).first()
     assert (row["n"], row["empty"], row["mean"], row["q"], row["top"], row["h"], row["d"], row["rc"]) == (2, 0.0, None, 10, "~", 2, "1,234,567.5833333", "tNACGT")
     assert S.duration_text(3_723_004) == "01:02:03.004"
+
+
+def test_functions_by_name_in_sql(spark):
+    from seqloom.functions.sql import register
+
+    assert "hamming" in register(spark)
+    row = spark.sql("select count_n('ANnT') n, share_n('') s, mean_score('') m, mean_score('II') q, round(error_sum('++'), 6) e, reverse_complement('ACGTNa') rc, hamming('ACGT', 'AGGA') h, umi('acgtAC', 4) u, phred_string(phred_scores('!I~')) p, decimal_text(1234.5) d").first()
+    assert tuple(row) == (2, 0.0, None, 40.0, 0.2, "tNACGT", 2, "GTAC", "!I~", "1,234.5")
