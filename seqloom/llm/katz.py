@@ -344,9 +344,19 @@ def _score(parts: int, unigrams: Unigrams, d: np.ndarray, hot: dict[int, tuple[n
     return run
 
 
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: list[np.ndarray] | None = None
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            own = unpack(x)
+            total = own if total is None else [a + b for a, b in zip(total, own, strict=True)]
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([pack(*total)], pa.binary())], names=["data"])
+
+
 def _totals(df: DataFrame) -> list[np.ndarray]:
-    """Sums of the STATS rows' arrays: a few numbers for each partition of a table."""
-    got = [unpack(r["data"]) for r in df.where(F.col("kind") == STATS).select("data").collect()]
+    """Sums of the STATS rows' arrays: a few numbers from each task that reads the table."""
+    got = [unpack(r["data"]) for r in df.where(F.col("kind") == STATS).select("data").mapInArrow(_sum, "data binary").collect()]
     return [np.sum(x, axis=0) for x in zip(*got, strict=True)]
 
 
