@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .bpe import Vocabulary, chunks, merge_rounds, vocabulary
 from .common import beside, column, give_back, pieces, with_columns
 
-CACHE = 150_000  # pieces a worker remembers between batches; only speed depends on it
+CACHE = 250_000  # pieces a worker remembers between batches; only speed depends on it
 STEP = 1 << 20  # bytes of text whose new words share the merge rounds
 
 

@@ -48,15 +48,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    table_.scratch_path = path
+    return table_
 
 
-def delete_written(df: DataFrame) -> None:
+def delete_written(*tables: DataFrame) -> None:
     """Deletes what `written` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    for df in tables:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:

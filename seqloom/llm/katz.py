@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, partitions_for, written
+from .common import column, delete_written, partitions_for, written
 
 BLOCK = 3 << 20  # bytes of text
 PART = 8 << 20  # bytes of text for each partition of the n-gram tables
@@ -392,7 +392,9 @@ def katz_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
         was = hot.get(r["block"], (np.zeros(LOW), 0.0))
         hot[r["block"]] = was[0] + low, was[1] + float(share[0])
     scored = by_block(known.union(found.where(F.col("kind") == FOUND))).mapInArrow(_score(parts, unigrams, d, hot, spread), OUT_DDL)
-    return written(scored, "scores").withColumnRenamed("id", id_col)
+    scores = written(scored, "scores")
+    delete_written(sent, counts, found)
+    return scores.withColumnRenamed("id", id_col)
 
 
 __all__ = ["Unigrams", "discounts", "katz_scores"]

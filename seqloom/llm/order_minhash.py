@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_of, bloom_positions, bloom_test
-from .common import column, dealt_anew, id_text, partitions_for, written
+from .common import column, dealt_anew, delete_written, id_text, partitions_for, written
 from .components import components
 
 SHINGLE, ORDERED, BANDS = 5, 2, 32
@@ -419,7 +419,9 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     texts = docs.select("id", "text").mapInArrow(_words(shared, bits), "doc bigint, words binary")
     sent = routes.join(texts, "doc").select("lead", "salt", "doc", "first", "words")
     near = sent.repartition(n, "lead", "salt").sortWithinPartitions("lead", "salt", F.desc("first")).mapInArrow(_align, "a bigint, b bigint, similarity double")
-    return written(near, "near")
+    links = written(near, "near")
+    delete_written(pairs)
+    return links
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
