@@ -16,9 +16,10 @@ SCHEMA = "ord long, header string, seq string, qual string"
 class FastqSource(DataSource):
     """format("fastq"): records of local FASTQ files, plain or .gz / .gzip by each file's own name.
 
-    Options: path (files parted by commas; ord counts on from file to file is
-    not done: it starts at 0 in each), strict ("true": a header without @, a
-    base outside ACGTN or a quality of another length is an error).
+    Options: path (files parted by commas; ord starts at 0 in each), strict
+    ("true": a header without @, a base outside ACGTN or a quality of another
+    length is an error). Each file is one task; for large files in a store that
+    all executors reach, read_fastq_text reads in splits.
     """
 
     @classmethod
