@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import column, delete_written, partitions_for, written
 
-BLOCK = 3 << 20  # bytes of text
+BLOCK = 5 << 20  # bytes of text
 PART = 8 << 20  # bytes of text for each partition of the n-gram tables
 LOW = 5  # counts up to here are discounted
 END = b"\n"  # no word holds a blank
@@ -377,7 +377,7 @@ def katz_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     parts = max(n, -(-size // PART))
     sent = written(docs.mapInArrow(_blocks(parts), ROWS_DDL), "words")
     blocks, words = sent.where(F.col("kind") == DOCS), sent.where(F.col("kind") == WORDS)
-    by_part = lambda x: x.repartition(parts, "part").sortWithinPartitions("part")
+    by_part = lambda x: x.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part")
     by_block = lambda x: x.repartition(n, "block").sortWithinPartitions("block")
     counts = written(by_part(words).mapInArrow(_count_words(parts), ROWS_DDL), "counts")
     total, n_words = _totals(counts) or [np.zeros(2, np.int64), np.zeros(LOW + 1, np.int64)]
