@@ -36,7 +36,8 @@ def share_n(seq: Column | str) -> Column:
 
 
 def score_sum(qual: Column | str) -> Column:
-    return F.aggregate(phred_scores(qual), F.lit(0), lambda a, x: a + x)
+    q = col(qual)
+    return F.when(F.length(q) > 0, F.aggregate(F.split(q, ""), F.lit(0), lambda a, c: a + F.ascii(c)) - OFFSET * F.length(q)).otherwise(F.lit(0))
 
 
 def mean_score(qual: Column | str) -> Column:
@@ -52,7 +53,8 @@ def score_error(score: Column | str) -> Column:
 
 def error_sum(qual: Column | str) -> Column:
     """Expected number of wrong bases."""
-    return F.aggregate(phred_scores(qual), F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), -x / F.lit(10.0)))
+    q = col(qual)
+    return F.when(F.length(q) > 0, F.aggregate(F.split(q, ""), F.lit(0.0), lambda a, c: a + F.pow(F.lit(10.0), (F.lit(OFFSET) - F.ascii(c)) / F.lit(10.0)))).otherwise(F.when(q.isNotNull(), F.lit(0.0)))
 
 
 def error_score(error: Column | str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .quality import with_quality
 
 
 def mark_duplicates(df: DataFrame, umi: Column, by: list[str], order: list[Column]) -> DataFrame:
@@ -24,7 +25,9 @@ def first_read(df: DataFrame, index_seq: str, size: int = 12, by: list[str] | No
 
 def best_read(df: DataFrame, index_seq: str, quals: list[str], size: int = 12, by: list[str] | None = None, ord_col: str = "ord") -> DataFrame:
     """Keeps the read with the fewest expected errors of each UMI, the first of equals."""
-    error = sum((S.error_sum(q) for q in quals), F.lit(0.0))
-    best = df.withColumn("umi", S.umi(index_seq, size)).where("umi is not null").withColumn("errors", error)
+    best = df.withColumn("umi", S.umi(index_seq, size)).where("umi is not null")
+    for k, q in enumerate(quals):
+        best = with_quality(best, q, f"_mean{k}", f"_errors{k}")
+    best = best.withColumn("errors", sum((F.col(f"_errors{k}") for k in range(len(quals))), F.lit(0.0)))
     keys = [*(by or []), "umi"]
     return best.groupBy(*keys).agg(F.min_by(F.struct(*df.columns, "errors"), F.struct("errors", ord_col)).alias("r")).select("r.*", "umi")

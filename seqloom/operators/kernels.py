@@ -192,6 +192,19 @@ def fewest(edits: np.ndarray, last: bool) -> np.ndarray:
     return np.where(edits[np.arange(n), end] < FAR, end, -1)
 
 
+def score_means(qual: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Mean score of each read, NaN of an empty one."""
+    inside = np.arange(qual.shape[1]) < lens[:, None]
+    total = np.where(inside, qual.astype(np.int64) - 33, 0).sum(axis=1)
+    return np.where(lens > 0, total / np.maximum(lens, 1), np.nan)
+
+
+def error_sums(qual: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Expected wrong bases of each read."""
+    inside = np.arange(qual.shape[1]) < lens[:, None]
+    return np.where(inside, ERROR[np.maximum(qual.astype(np.int64) - 33, 0)], 0.0).sum(axis=1)
+
+
 def n_trim(mat: np.ndarray, lens: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
     """Range left by trimming Ns from both ends.
 

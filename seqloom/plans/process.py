@@ -49,17 +49,25 @@ def _side(s, q, n, barcode_end, enzyme_end, config: Config, adapters) -> tuple:
     return s, q, n, trimmed, n != left
 
 
+def _good(qual: np.ndarray, n: np.ndarray, config: Config) -> np.ndarray:
+    """Whether the raw quality passes; an empty read has no mean, and fails."""
+    if config.errors is not None:
+        return K.error_sums(qual, n) <= config.errors
+    return K.score_means(qual, n) >= config.quality
+
+
 def transform(df: DataFrame, config: Config) -> DataFrame:
     """`df` (f_seq, f_qual, with pairs r_*, with index reads i1_* and i2_*) and what becomes of each read.
 
     Added: sample .. edits of the demultiplexer, out_f_seq, out_f_qual,
-    out_r_seq, out_r_qual (null once merged), n_trimmed, n_adapters, merged.
+    out_r_seq, out_r_qual (null once merged), n_trimmed, n_adapters, merged,
+    quality_ok (the filter on raw qualities).
     """
     paired, names = "r_seq" in df.columns, df.columns
     inputs = ["f_seq", "f_qual", *(["r_seq", "r_qual"] if paired else [])]
     index = [c for c in ("i1_seq", "i1_qual", "i2_seq", "i2_qual") if c in names] if config.by_index else []
     index = [c if c in names else c.replace("qual", "seq") for p in ("i1", "i2") if f"{p}_seq" in index for c in (f"{p}_seq", f"{p}_qual")]
-    outputs = [*demux.MATCHED, ("out_f_seq", TEXT), ("out_f_qual", TEXT), ("out_r_seq", TEXT), ("out_r_qual", TEXT), ("n_trimmed", T.IntegerType()), ("n_adapters", T.IntegerType()), ("merged", T.BooleanType())]
+    outputs = [*demux.MATCHED, ("out_f_seq", TEXT), ("out_f_qual", TEXT), ("out_r_seq", TEXT), ("out_r_qual", TEXT), ("n_trimmed", T.IntegerType()), ("n_adapters", T.IntegerType()), ("merged", T.BooleanType()), ("quality_ok", T.BooleanType())]
     d = config.demux
 
     def kernel(cols: list[pa.Array]) -> list[pa.Array]:
@@ -75,6 +83,9 @@ def transform(df: DataFrame, config: Config) -> DataFrame:
             found = demux.assign_by_index(*ix[0], *(ix[1] if len(ix) > 1 else (None, None, None)), d)
         else:
             found = demux.assign(K.upper(f), fq, fn, *((K.upper(r[0]), r[1], r[2]) if paired else r), d)
+        ok = _good(*mats[1], config)
+        if paired:
+            ok &= _good(*mats[3], config)
         in_read = d is not None and not config.by_index
         s1, q1, n1, t1, a1 = _side(f, fq, fn, found["barcode_end"] if in_read else None, found["enzyme_end"] if in_read else None, config, config.adapters)
         trimmed, adapter, merged = t1.astype(int), a1.astype(int), np.zeros(n, bool)
@@ -89,7 +100,7 @@ def transform(df: DataFrame, config: Config) -> DataFrame:
             else:
                 out_r = [K.to_strings(s2, n2), K.to_strings(q2, n2)]
         matched = demux.columns(found, d) if d else [pa.nulls(n, pa.string()), *[pa.nulls(n, pa.int32())] * 6]
-        return [*matched, K.to_strings(s1, n1), K.to_strings(q1, n1), *out_r, pa.array(trimmed.astype(np.int32)), pa.array(adapter.astype(np.int32)), pa.array(merged)]
+        return [*matched, K.to_strings(s1, n1), K.to_strings(q1, n1), *out_r, pa.array(trimmed.astype(np.int32)), pa.array(adapter.astype(np.int32)), pa.array(merged), pa.array(ok)]
 
     return add_columns(df, [*inputs, *index], outputs, kernel)
 
@@ -97,14 +108,14 @@ def transform(df: DataFrame, config: Config) -> DataFrame:
 def judged(df: DataFrame, config: Config) -> DataFrame:
     """`transform` and column kept: every predicate holds. Filters on raw reads see them as they came."""
     paired = "r_seq" in df.columns
-    seqs, quals = (["f_seq", "r_seq"], ["f_qual", "r_qual"]) if paired else (["f_seq"], ["f_qual"])
+    seqs = ["f_seq", "r_seq"] if paired else ["f_seq"]
     done = transform(df, config)
     size = 2 if paired else 1
     bases = reduce(lambda a, b: a & b, [S.is_dna(c) for c in seqs])
     tests = [
         F.when(bases, F.lit(True)).otherwise(F.raise_error(F.lit("a base outside ACGTN"))) if config.strict else bases,
         filters.no_n(*seqs) if config.no_n else filters.few_n(*seqs, share=config.most_n),
-        filters.expected_errors(*quals, most=config.errors) if config.errors is not None else filters.mean_quality(*quals, least=config.quality),
+        F.col("quality_ok"),
         filters.length_between("out_f_seq", least=config.least_length, most=config.most_length),
     ]
     if config.demux is not None:

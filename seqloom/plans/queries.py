@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import dedup, demux, filters, matching, merging, stats, trimming
+from ..operators import dedup, demux, filters, matching, merging, quality, stats, trimming
 from ..operators.kernels import FULL, Adapter, Budget, Search
 from ..sources import enzymes
 from .config import Config
@@ -102,13 +102,27 @@ def no_n_filter(spark: SparkSession, d: str) -> DataFrame:
     return reads(spark, d, "f_seq").where(filters.no_n("f_seq"))
 
 
-@query("mean_quality_filter", f"SELECT ord, round(m, 6) AS mean FROM (SELECT ord, list_sum({phred('f_qual')}) / length(f_qual) AS m FROM reads) WHERE m >= 22")
+_MEANS = f"SELECT ord, round(m, 6) AS mean FROM (SELECT ord, list_sum({phred('f_qual')}) / length(f_qual) AS m FROM reads) WHERE m >= 22"
+_SUMS = f"SELECT ord, round(e, 6) AS errors FROM (SELECT ord, list_sum(list_transform({phred('f_qual')}, lambda x: pow(10.0, -x / 10.0))) AS e FROM reads) WHERE e <= 6.5"
+
+
+@query("mean_quality_filter", _MEANS)
 def mean_quality_filter(spark: SparkSession, d: str) -> DataFrame:
-    return reads(spark, d, "f_qual").where(filters.mean_quality("f_qual", least=22)).select("ord", F.round(S.mean_score("f_qual"), 6).alias("mean"))
+    return quality.with_quality(reads(spark, d, "f_qual"), "f_qual").where("mean >= 22").select("ord", F.round("mean", 6).alias("mean"))
 
 
-@query("expected_error_filter", f"SELECT ord, round(e, 6) AS errors FROM (SELECT ord, list_sum(list_transform({phred('f_qual')}, lambda x: pow(10.0, -x / 10.0))) AS e FROM reads) WHERE e <= 6.5")
+@query("expected_error_filter", _SUMS)
 def expected_error_filter(spark: SparkSession, d: str) -> DataFrame:
+    return quality.with_quality(reads(spark, d, "f_qual"), "f_qual").where("errors <= 6.5").select("ord", F.round("errors", 6).alias("errors"))
+
+
+@query("mean_quality_builtin", _MEANS)
+def mean_quality_builtin(spark: SparkSession, d: str) -> DataFrame:
+    return reads(spark, d, "f_qual").where(filters.mean_quality("f_qual", least=22)).select("ord", F.round(S.mean_score("f_qual"), 6).alias("mean"))
+
+
+@query("expected_error_builtin", _SUMS)
+def expected_error_builtin(spark: SparkSession, d: str) -> DataFrame:
     return reads(spark, d, "f_qual").where(filters.expected_errors("f_qual", most=6.5)).select("ord", F.round(S.error_sum("f_qual"), 6).alias("errors"))
 
 
