@@ -14,6 +14,7 @@ from ..functions import scalars as S
 from ..operators import dedup, demux, filters, stats
 from ..operators import kernels as K
 from ..operators.arrow import add_columns
+from ..operators.quality import with_quality
 from ..operators.trimming import quality_range
 from .config import Config
 
@@ -154,10 +155,15 @@ def process(df: DataFrame, config: Config) -> DataFrame:
         return out.withColumn("n_duplicates", F.lit(0))
     if "i1_seq" not in df.columns:
         raise ValueError("deduplication needs index reads")
-    quals = ["f_qual", *(["r_qual"] if paired and not config.merge else [])]
-    order = [F.col("ord")] if config.dedup == "first" else [sum((S.error_sum(q) for q in quals), F.lit(0.0)), F.col("ord")]
     umi = F.when(F.col("kept"), S.umi("i1_seq", config.umi))
-    marked = dedup.mark_duplicates(out, umi, ["sample"], order)
+    if config.dedup == "first":
+        marked = dedup.mark_duplicates(out, umi, ["sample"], [F.col("ord")])
+    else:
+        quals = ["f_qual", *(["r_qual"] if paired and not config.merge else [])]
+        for k, q in enumerate(quals):
+            out = with_quality(out, q, f"_mean{k}", f"_errors{k}")
+        errors = sum((F.col(f"_errors{k}") for k in range(len(quals))), F.lit(0.0))
+        marked = dedup.mark_duplicates(out, umi, ["sample"], [errors, F.col("ord")]).drop(*[f"_{c}{k}" for k in range(len(quals)) for c in ("mean", "errors")])
     return marked.withColumn("n_duplicates", F.when(F.col("duplicate"), F.col("n_reads")).otherwise(0))
 
 
