@@ -39,7 +39,6 @@ from .components import components
 
 SHINGLE, ORDERED, BANDS = 5, 2, 32
 AGREE, ABSORB = 2, 4
-STRONG = 12
 BUCKETS = 96  # of a text's word histogram
 SIMILAR = 0.8
 CHUNK = 20_000  # rows whose copies fold before the shuffle
@@ -254,34 +253,12 @@ def gather(ids: np.ndarray, n: np.ndarray, small: np.ndarray) -> tuple[list[tupl
     return pairs, np.array(leaders)
 
 
-class Joined:
-    """Which texts of a chunk are one component already, by union and find."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        """False if they were joined before."""
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
 OUT = "key bigint, id bigint, n int, small binary, lead bigint"
 OUT_SCHEMA = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("small", pa.binary()), ("lead", pa.int64())])
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of leaders for each band (lead is null), and pairs with what they absorbed, chunk by chunk.
-
-    A pair that agrees in STRONG values is a link but for its proof, so later
-    pairs within the component that such pairs make add nothing.
-    """
+    """Rows of leaders for each band (lead is null), and pairs with what they absorbed, chunk by chunk."""
     held: list[pa.RecordBatch] = []
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -290,7 +267,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u8").reshape(-1, BANDS)
         small = np.concatenate([full.astype(np.uint8), np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8).reshape(-1, BUCKETS)], axis=1)
         packed = pa.array([s.tobytes() for s in small], pa.binary())
-        joined, seen = Joined(len(ids)), set()
+        seen = set()
         for band in range(BANDS):
             key = full[:, band].view(np.int64)
             order = np.argsort(key, kind="stable")
@@ -300,12 +277,10 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c, s in zip(cut[size > 1].tolist(), size[size > 1].tolist(), strict=True):
                 group = order[c : c + s]
                 found, leaders = gather(ids[group], n[group], small[group])
-                for a, b, absorbed in found:
+                for a, b, _ in found:
                     a, b = int(group[a]), int(group[b])
-                    if joined.root(a) == joined.root(b) or (a, b) in seen:
+                    if (a, b) in seen:
                         continue
-                    if absorbed and (small[a, :BANDS] == small[b, :BANDS]).sum() >= STRONG:
-                        joined.join(a, b)
                     seen.add((a, b))
                     pairs.append((a, b))
                 stay[group] = False

@@ -110,6 +110,21 @@ def test_classes_equal_brute_force(spark):
     assert got == want
 
 
+def classes_of(df):
+    return {x["doc_id"]: x["class_id"] for x in near_duplicates(df).collect()}
+
+
+def test_texts_meet_beside_a_hub_below_the_threshold(spark):
+    rows, want = [], {}
+    for g in range(0, 60, 3):
+        hub = [f"h{g}.{i}" for i in range(200)]
+        b = hub[:156] + [f"b{g}.{i}" for i in range(44)]  # 0.78
+        c = [*b[:-1], "other"]
+        rows += [(g, " ".join(hub)), (g + 1, " ".join(b)), (g + 2, " ".join(c))]
+        want |= {g: g, g + 1: g + 1, g + 2: g + 1}
+    assert classes_of(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) == want
+
+
 def test_edge_rows(edges, nothing):
     got = sorted((tuple(r) for r in near_duplicates(edges).collect()), key=str)
     classes = dict(x for x in got if x[0] is not None)
