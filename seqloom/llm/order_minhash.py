@@ -6,13 +6,12 @@ ones and keeps the order in which the text has them: equal values are likely
 only if the texts agree in content and in order, that is, in edit distance.
 
 1. Exact copies fold into the least id.
-2. Texts with an equal value in a band are candidates. Within a chunk of rows,
-   before any shuffle, and again within a band's bucket, a text joins a leader
-   whose sketch agrees in ABSORB values or more; texts that differ more are
-   compared with every leader. So a bucket of copies costs a row for each of
-   them, no pairs, and a hot bucket arrives as one leader or a few a chunk.
-   Pairs whose lengths or word histograms differ by more than the similarity
-   allows are none: an edit changes two counts by one, so none is lost.
+2. Texts with an equal value in a band are candidates, unless their lengths or
+   word histograms differ by more than the similarity allows: an edit changes
+   two counts by one, so none is lost. A bucket of FEW texts compares all of
+   them. A larger one compares each with a leader at first; once these pairs
+   are verified, all its texts are compared but those that verified links
+   connect already, so a bucket of copies costs few pairs.
 3. Candidates that share AGREE values are aligned word by word in a band as
    wide as the similarity allows (1 - edits / words of the longer >= 0.8): at
    first along the words that both texts have once, which proves most links;
@@ -28,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,10 +36,10 @@ from .common import column, dealt_anew, delete_written, id_text, partitions_for,
 from .components import components
 
 SHINGLE, ORDERED, BANDS = 5, 2, 32
-AGREE, ABSORB = 2, 4
+AGREE = 2
 BUCKETS = 96  # of a text's word histogram
 SIMILAR = 0.8
-CHUNK = 20_000  # rows whose copies fold before the shuffle
+FEW = 32  # texts of a bucket that are all compared at once
 WIDE = 200_000  # shingles times bands at once
 PER_TASK = 500  # texts aligned with one copy of a leader
 CACHE = 150_000
@@ -230,119 +228,119 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), pa.array(counts, pa.binary())], names=["id", "digest", "n", "sketch", "counts"])
 
 
-def gather(ids: np.ndarray, n: np.ndarray, small: np.ndarray) -> tuple[list[tuple[int, int, bool]], np.ndarray]:
-    """Candidate pairs of one bucket as positions (leader, text, absorbed), and the positions of its leaders.
+def fits(n_a: np.ndarray, n_b: np.ndarray, small_a: np.ndarray, small_b: np.ndarray) -> np.ndarray:
+    """Which pairs lengths, sketches and word histograms allow; `small_b` may be one text's."""
+    longer = np.maximum(n_a, n_b)
+    limit = np.floor((1 - SIMILAR) * longer + 1e-9)
+    ok = longer - np.minimum(n_a, n_b) <= limit
+    at = np.flatnonzero(ok)
+    for k in range(0, len(at), 50_000):
+        i = at[k : k + 50_000]
+        a, b = small_a[i], small_b if small_b.ndim == 1 else small_b[i]
+        differ = np.abs(a[:, BANDS:].astype(np.int16) - b[..., BANDS:].astype(np.int16)).sum(axis=1)
+        ok[i] = (differ <= 2 * limit[i]) & ((a[:, :BANDS] == b[..., :BANDS]).sum(axis=1) >= AGREE)
+    return ok
 
-    `small` has the low bytes of the sketch and the word histogram.
-    """
-    left = np.argsort(ids, kind="stable")
-    pairs, leaders = [], []
-    while len(left):
-        lead, left = left[0], left[1:]
-        leaders.append(lead)
-        if not len(left):
-            break
-        agree = (small[left, :BANDS] == small[lead, :BANDS]).sum(axis=1)
-        longer = np.maximum(n[left], n[lead])
-        limit = np.floor((1 - SIMILAR) * longer + 1e-9)
-        fits = longer - np.minimum(n[left], n[lead]) <= limit
-        fits[fits] = np.abs(small[left[fits], BANDS:].astype(np.int16) - small[lead, BANDS:].astype(np.int16)).sum(axis=1) <= 2 * limit[fits]
-        found, absorbed = fits & (agree >= AGREE), fits & (agree >= ABSORB)
-        pairs += [(int(lead), int(i), bool(x)) for i, x in zip(left[found], absorbed[found], strict=True)]
-        left = left[~absorbed]
-    return pairs, np.array(leaders)
-
-
-OUT = "key bigint, id bigint, n int, small binary, lead bigint"
-OUT_SCHEMA = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("small", pa.binary()), ("lead", pa.int64())])
-
-
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of leaders for each band (lead is null), and pairs with what they absorbed, chunk by chunk."""
-    held: list[pa.RecordBatch] = []
-
-    def out() -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).sort_by("id")
-        ids, n = table["id"].to_numpy(), table["n"].to_numpy()
-        full = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u8").reshape(-1, BANDS)
-        small = np.concatenate([full.astype(np.uint8), np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8).reshape(-1, BUCKETS)], axis=1)
-        packed = pa.array([s.tobytes() for s in small], pa.binary())
-        seen = set()
-        for band in range(BANDS):
-            key = full[:, band].view(np.int64)
-            order = np.argsort(key, kind="stable")
-            cut = np.concatenate([[0], np.flatnonzero(key[order][1:] != key[order][:-1]) + 1])
-            size = np.diff(cut, append=len(order))
-            stay, pairs = np.ones(len(key), bool), []
-            for c, s in zip(cut[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-                group = order[c : c + s]
-                found, leaders = gather(ids[group], n[group], small[group])
-                for a, b, _ in found:
-                    a, b = int(group[a]), int(group[b])
-                    if (a, b) in seen:
-                        continue
-                    seen.add((a, b))
-                    pairs.append((a, b))
-                stay[group] = False
-                stay[group[leaders]] = True
-            if pairs:
-                a, b = ids[[p[0] for p in pairs]], ids[[p[1] for p in pairs]]
-                yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(b), pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.binary()), pa.array(a)], schema=OUT_SCHEMA)
-            at = np.flatnonzero(stay)
-            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(ids[at]), pa.array(n[at], pa.int32()), packed.take(pa.array(at)), pa.nulls(len(at), pa.int64())], schema=OUT_SCHEMA)
-
-    rows = 0
-    for batch in batches:
-        for a in range(0, batch.num_rows, CHUNK):
-            part = batch.slice(a, CHUNK)
-            held.append(part)
-            rows += part.num_rows
-            if rows >= CHUNK:
-                yield from out()
-                held, rows = [], 0
-    if rows:
-        yield from out()
 
+BAND = "key bigint, id bigint, n int, small binary"
+MET = "lead bigint, id bigint, key bigint, n int, small binary"
+MET_SCHEMA = pa.schema([("lead", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("small", pa.binary())])
 
-def _ends(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["lead", "id"])
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each bucket of leaders, and those found before; rows arrive sorted by key."""
-    tail: pa.Table | None = None
-
-    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, ids, n, small = table["key"].to_numpy(), table["id"].to_numpy(), table["n"].to_numpy(), table["small"]
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
-        size = np.diff(cut, append=len(key))
-        pairs: list[tuple[int, int]] = []
-        for c, s in zip(cut[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-            sketch = np.frombuffer(b"".join(small.slice(c, s).to_pylist()), np.uint8).reshape(s, BANDS + BUCKETS)
-            pairs += [(int(ids[c + a]), int(ids[c + b])) for a, b, _ in gather(ids[c : c + s], n[c : c + s], sketch)[0]]
-            if len(pairs) > 50_000:
-                yield _ends(pairs)
-                pairs = []
-        if pairs:
-            yield _ends(pairs)
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each band of a text: low bytes of the sketch and the word histogram."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 2000):
+            part = batch.slice(k, 2000)
+            sketch = part.column(2).to_pylist()
+            at = pa.array(np.repeat(np.arange(len(sketch)), [len(s) // 8 for s in sketch]))
+            small = [np.frombuffer(s, "<u8").astype(np.uint8).tobytes() + c for s, c in zip(sketch, part.column(3).to_pylist(), strict=True)]
+            key = pa.array(np.frombuffer(b"".join(sketch), "<i8"))
+            yield pa.RecordBatch.from_arrays([key, part.column(0).take(at), part.column(1).take(at), pa.array(small, pa.binary()).take(at)], names=["key", "id", "n", "small"])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables that end where a key ends; rows arrive sorted by key."""
+    tail: list[pa.RecordBatch] = []
     for batch in batches:
-        known = batch.filter(pc.is_valid(batch.column("lead")))
-        if known.num_rows:
-            yield pa.RecordBatch.from_arrays([known.column("lead"), known.column("id")], names=["lead", "id"])
-        batch = batch.filter(pc.is_null(batch.column("lead")))
         if not batch.num_rows:
             continue
-        now = pa.Table.from_batches([batch])
-        if tail is not None:
-            now = pa.concat_tables([tail, now])
-        key = now["key"].to_numpy()
+        key = batch.column("key").to_numpy()
         last = int(np.searchsorted(key, key[-1], "left"))
-        tail = now.slice(last)
-        if last:
-            yield from found(now.slice(0, last))
-    if tail is not None:
-        yield from found(tail)
+        if tail and (last or tail[-1].column("key")[-1].as_py() != key[0]):
+            yield pa.Table.from_batches([*tail, batch.slice(0, last)])
+            tail = []
+        elif last:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+        tail.append(batch.slice(last))
+    if tail:
+        yield pa.Table.from_batches(tail)
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal keys."""
+    start = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+    return start, np.diff(start, append=len(key))
+
+
+def _matrix(small: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(small.to_pylist()), np.uint8).reshape(len(small), -1)
+
+
+def _met(lead: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    none = [pa.nulls(len(ids), MET_SCHEMA.field(k).type) for k in ("key", "n", "small")]
+    return pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(ids, pa.int64()), *none], schema=MET_SCHEMA)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of buckets of FEW texts; of larger ones the pairs with leaders, and the rows themselves, which have a key."""
+    for table in _buckets(batches):
+        key, ids, n = table["key"].to_numpy(), table["id"].to_numpy(), table["n"].to_numpy()
+        start, size = _runs(key)
+        at = np.flatnonzero(np.repeat((size > 1) & (size <= FEW), size))
+        if len(at):
+            k, small = key[at], _matrix(table["small"].take(pa.array(at)))
+            for step in range(1, FEW):
+                i = np.flatnonzero(k[step:] == k[:-step])
+                if not len(i):
+                    break
+                j = i + step
+                ok = fits(n[at[i]], n[at[j]], small[i], small[j])
+                yield _met(ids[at[i[ok]]], ids[at[j[ok]]])
+        for c, s in zip(start[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+            own = table.slice(c, s)
+            small = _matrix(own["small"])
+            left = np.lexsort((ids[c : c + s], n[c : c + s])) + c
+            while len(left) > 1:
+                lead, left = left[0], left[1:]
+                within = left[: np.searchsorted(n[left], n[lead] / SIMILAR + 1, "right")]
+                ok = fits(n[within], n[lead], small[within - c], small[lead - c])
+                if ok.any():
+                    yield _met(np.full(ok.sum(), ids[lead]), ids[within[ok]])
+                    left = np.concatenate([within[~ok], left[len(within) :]])
+            for rows in own.select(["id", "key", "n", "small"]).to_batches():
+                yield pa.RecordBatch.from_arrays([pa.nulls(rows.num_rows, pa.int64()), *rows.columns], schema=MET_SCHEMA)
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket that no verified links connect; the texts of its largest component aren't compared with each other."""
+    for table in _buckets(batches):
+        start, size = _runs(table["key"].to_numpy())
+        for c, s in zip(start.tolist(), size.tolist(), strict=True):
+            own = table.slice(c, s)
+            root, ids, n = own["root"].to_numpy(), own["id"].to_numpy(), own["n"].to_numpy()
+            if (root == root[0]).all():
+                continue
+            order = np.lexsort((ids, n))
+            root, ids, n, small = root[order], ids[order], n[order], _matrix(own["small"])[order]
+            roots, members = np.unique(root, return_counts=True)
+            most = roots[members.argmax()]
+            for i in np.flatnonzero(root != most).tolist():
+                j = np.arange(np.searchsorted(n, n[i] * SIMILAR - 1), np.searchsorted(n, n[i] / SIMILAR + 1, "right"))
+                j = j[(root[j] != root[i]) & ((j > i) | (root[j] == most))]
+                j = j[fits(n[j], n[i], small[j], small[i])]
+                if len(j):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), ids[i])), pa.array(ids[j])], names=["lead", "id"])
 
 
 def _words(shared, bits: int):
@@ -377,13 +375,13 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
 
-def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b, similarity of verified links between different texts; ids stand for all their exact copies."""
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.where("lead <> id").select(F.least("lead", "id").alias("lead"), F.greatest("lead", "id").alias("id")).distinct()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, similarity of those of the pairs (lead, id) that are similar."""
     spark = docs.sparkSession
-    n = partitions_for(spark)
-    distinct = sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "sketch", "counts")).alias("x")).select("x.*")
-    met = distinct.mapInArrow(_fold, OUT).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet, "lead bigint, id bigint")
-    pairs = written(met.where("lead <> id").select(F.least("lead", "id").alias("lead"), F.greatest("lead", "id").alias("id")).distinct(), "pairs")
     shares = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).alias("shares")).select(dealt_anew("lead"), "shares")
     members = pairs.join(shares, "lead").select("lead", F.pmod(F.xxhash64("id"), F.col("shares")).alias("salt"), F.col("id").alias("doc"))
     heads = members.select("lead", "salt").distinct().select("lead", "salt", F.col("lead").alias("doc"))
@@ -393,9 +391,28 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(zlib.compress(wanted.tobytes(), 1))
     texts = docs.select("id", "text").mapInArrow(_words(shared, bits), "doc bigint, words binary")
     sent = routes.join(texts, "doc").select("lead", "salt", "doc", "first", "words")
-    near = sent.repartition(n, "lead", "salt").sortWithinPartitions("lead", "salt", F.desc("first")).mapInArrow(_align, "a bigint, b bigint, similarity double")
-    links = written(near, "near")
-    delete_written(pairs)
+    near = sent.repartition(partitions_for(spark), "lead", "salt").sortWithinPartitions("lead", "salt", F.desc("first")).mapInArrow(_align, "a bigint, b bigint, similarity double")
+    return written(near, "near")
+
+
+def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b, similarity of verified links between different texts; ids stand for all their exact copies.
+
+    Every pair that meets in a band is verified, or verified links connect it.
+    """
+    n = partitions_for(docs.sparkSession)
+    distinct = sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "sketch", "counts")).alias("x")).select("x.*")
+    met = written(distinct.mapInArrow(_bands, BAND).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet, MET), "met")
+    pairs = written(_pairs(met), "pairs")
+    links = _verified(docs, pairs)
+    large = met.where("key is not null")
+    if not large.isEmpty():
+        rooted = large.join(components(links), F.col("id") == F.col("node"), "left").select("key", F.coalesce("root", "id").alias("root"), "id", "n", "small")
+        crossed = rooted.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_cross, "lead bigint, id bigint")
+        more = written(_pairs(crossed).join(pairs, ["lead", "id"], "left_anti"), "pairs")
+        links = links.union(_verified(docs, more))
+        delete_written(more)
+    delete_written(met, pairs)
     return links
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from seqloom.llm.components import components
-from seqloom.llm.order_minhash import banded_distance, near_duplicates, order_sketch, similar
+from seqloom.llm.order_minhash import WordIds, banded_distance, histogram, near_duplicates, near_links, order_sketch, similar
 
 
 def levenshtein(a, b):
@@ -125,6 +126,24 @@ def test_texts_meet_beside_a_hub_below_the_threshold(spark):
     assert classes_of(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) == want
 
 
+@pytest.mark.parametrize("crowd", [0, 60])
+def test_texts_that_meet_only_beside_a_leader_are_compared(spark, crowd):
+    """t and u share bands 0 to 3 alone, which the leader (and a crowd of its copies) shares too."""
+    r = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(100)]
+    t, u = base[:76] + [f"t{i}" for i in range(24)], base[:76] + [f"t{i}" for i in range(20)] + ["u"] * 4
+    texts = [base, t, u, *[[*base[:50], f"c{k}", *base[51:]] for k in range(crowd)]]
+    ids, shared, rows = WordIds(), r.integers(0, 1 << 63, 4, np.uint64), []
+    for i, words in enumerate(texts):
+        w = ids.of(" ".join(words))
+        sketch = np.concatenate([shared, r.integers(0, 1 << 63, 28, np.uint64)]).astype("<u8")
+        rows.append((i, i.to_bytes(16), len(w), sketch.tobytes(), histogram(w).tobytes()))
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "id long, text string")
+    links = near_links(docs, spark.createDataFrame(rows, "id long, digest binary, n int, sketch binary, counts binary").coalesce(1))
+    root = union_find([(x["a"], x["b"]) for x in links.collect()])
+    assert root.get(2) == 1 and all(root[i] == 0 for i in range(3, len(texts))) and root.get(0, 0) == 0
+
+
 def test_edge_rows(edges, nothing):
     got = sorted((tuple(r) for r in near_duplicates(edges).collect()), key=str)
     classes = dict(x for x in got if x[0] is not None)
