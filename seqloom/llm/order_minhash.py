@@ -4,6 +4,9 @@ A text's shingles of SHINGLE words are labelled with their occurrence number.
 Each of BANDS random orders of the labelled shingles takes the ORDERED least
 ones and keeps the order in which the text has them: equal values are likely
 only if the texts agree in content and in order, that is, in edit distance.
+Texts of up to SHORT words have bands of one least shingle of two words
+instead, in which similar texts of any length agree almost surely; texts whose
+partners may lie on either side have both.
 
 1. Exact copies fold into the least id.
 2. Texts with an equal value in a band are candidates, unless their lengths or
@@ -12,10 +15,10 @@ only if the texts agree in content and in order, that is, in edit distance.
    them. A larger one compares each with a leader at first; once these pairs
    are verified, all its texts are compared but those that verified links
    connect already, so a bucket of copies costs few pairs.
-3. Candidates that share AGREE values are aligned word by word in a band as
-   wide as the similarity allows (1 - edits / words of the longer >= 0.8): at
-   first along the words that both texts have once, which proves most links;
-   where that doesn't, by the exact banded distance.
+3. Candidates are aligned word by word in a band as wide as the similarity
+   allows (1 - edits / words of the longer >= 0.8): at first along the words
+   that both texts have once, which proves most links; where that doesn't, by
+   the exact banded distance.
 4. Verified links make classes, as connected components.
 """
 
@@ -35,8 +38,8 @@ from .bloom import bloom_of, bloom_positions, bloom_test
 from .common import column, dealt_anew, delete_written, id_text, partitions_for, written
 from .components import components
 
-SHINGLE, ORDERED, BANDS = 5, 2, 32
-AGREE = 2
+SHINGLE, ORDERED, BANDS = 3, 2, 32
+SHORT = 40
 BUCKETS = 96  # of a text's word histogram
 SIMILAR = 0.8
 FEW = 32  # texts of a bucket that are all compared at once
@@ -70,10 +73,10 @@ class WordIds(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def labelled(words: np.ndarray) -> np.ndarray:
+def labelled(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     """Hashes of the word shingles, each with its occurrence number; a shorter text is one shingle."""
-    n = max(1, len(words) - SHINGLE + 1)
-    k = min(SHINGLE, len(words))
+    n = max(1, len(words) - shingle + 1)
+    k = min(shingle, len(words))
     h = np.zeros(n, np.uint64)
     for j in range(k):
         h += words[j : j + n] * POLY[j]
@@ -88,10 +91,10 @@ def labelled(words: np.ndarray) -> np.ndarray:
     return mixed(h + nth * np.uint64(0x9E3779B97F4A7C15))
 
 
-def order_sketch(words: np.ndarray) -> np.ndarray:
-    """A value for each band: the hash of the ORDERED least labelled shingles, in text order."""
-    h = labelled(words)
-    n, take = len(h), min(ORDERED, len(h))
+def order_sketch(words: np.ndarray, shingle: int = SHINGLE, ordered: int = ORDERED) -> np.ndarray:
+    """A value for each band: the hash of the `ordered` least labelled shingles, in text order."""
+    h = labelled(words, shingle)
+    n, take = len(h), min(ordered, len(h))
     out = np.empty(BANDS, np.uint64)
     step = max(1, WIDE // n)
     for b in range(0, BANDS, step):
@@ -103,6 +106,12 @@ def order_sketch(words: np.ndarray) -> np.ndarray:
     return mixed(out + np.arange(BANDS, dtype=np.uint64))
 
 
+def band_values(words: np.ndarray) -> np.ndarray:
+    """The values by which a text meets others: similar ones of at most SHORT / SIMILAR words in short bands, others in long ones."""
+    short = [mixed(order_sketch(words, 2, 1))] if len(words) <= SHORT / SIMILAR else []
+    return np.concatenate([*short, *([order_sketch(words)] if len(words) > SHORT else [])])
+
+
 def histogram(words: np.ndarray) -> np.ndarray:
     """Numbers of words by hash, 255 at most."""
     return np.minimum(np.bincount((words >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8)
@@ -223,13 +232,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = ids.of(text)
             digest.append(xxhash.xxh3_128_digest(text))
             n.append(len(words))
-            sketch.append(order_sketch(words).astype("<u8").tobytes() if len(words) else None)
+            sketch.append(band_values(words).astype("<u8").tobytes() if len(words) else None)
             counts.append(histogram(words).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), pa.array(counts, pa.binary())], names=["id", "digest", "n", "sketch", "counts"])
 
 
 def fits(n_a: np.ndarray, n_b: np.ndarray, small_a: np.ndarray, small_b: np.ndarray) -> np.ndarray:
-    """Which pairs lengths, sketches and word histograms allow; `small_b` may be one text's."""
+    """Which pairs lengths and word histograms allow; `small_b` may be one text's."""
     longer = np.maximum(n_a, n_b)
     limit = np.floor((1 - SIMILAR) * longer + 1e-9)
     ok = longer - np.minimum(n_a, n_b) <= limit
@@ -237,8 +246,7 @@ def fits(n_a: np.ndarray, n_b: np.ndarray, small_a: np.ndarray, small_b: np.ndar
     for k in range(0, len(at), 50_000):
         i = at[k : k + 50_000]
         a, b = small_a[i], small_b if small_b.ndim == 1 else small_b[i]
-        differ = np.abs(a[:, BANDS:].astype(np.int16) - b[..., BANDS:].astype(np.int16)).sum(axis=1)
-        ok[i] = (differ <= 2 * limit[i]) & ((a[:, :BANDS] == b[..., :BANDS]).sum(axis=1) >= AGREE)
+        ok[i] = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=1) <= 2 * limit[i]
     return ok
 
 
@@ -248,15 +256,14 @@ MET_SCHEMA = pa.schema([("lead", pa.int64()), ("id", pa.int64()), ("key", pa.int
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each band of a text: low bytes of the sketch and the word histogram."""
+    """A row for each band of a text, with its word histogram."""
     for batch in batches:
         for k in range(0, batch.num_rows, 2000):
             part = batch.slice(k, 2000)
             sketch = part.column(2).to_pylist()
             at = pa.array(np.repeat(np.arange(len(sketch)), [len(s) // 8 for s in sketch]))
-            small = [np.frombuffer(s, "<u8").astype(np.uint8).tobytes() + c for s, c in zip(sketch, part.column(3).to_pylist(), strict=True)]
             key = pa.array(np.frombuffer(b"".join(sketch), "<i8"))
-            yield pa.RecordBatch.from_arrays([key, part.column(0).take(at), part.column(1).take(at), pa.array(small, pa.binary()).take(at)], names=["key", "id", "n", "small"])
+            yield pa.RecordBatch.from_arrays([key, part.column(0).take(at), part.column(1).take(at), part.column(3).take(at)], names=["key", "id", "n", "small"])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

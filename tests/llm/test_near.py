@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from seqloom.llm.components import components
-from seqloom.llm.order_minhash import WordIds, banded_distance, histogram, near_duplicates, near_links, order_sketch, similar
+from seqloom.llm.order_minhash import WordIds, band_values, banded_distance, histogram, near_duplicates, near_links, order_sketch, similar
 
 
 def levenshtein(a, b):
@@ -144,6 +144,23 @@ def test_texts_that_meet_only_beside_a_leader_are_compared(spark, crowd):
     assert root.get(2) == 1 and all(root[i] == 0 for i in range(3, len(texts))) and root.get(0, 0) == 0
 
 
+def test_scattered_edits_down_to_the_threshold_meet():
+    """Shares of pairs with a common band value; five-word shingles and two common values found 0.35 at 0.80, and none of the nine words."""
+    r = random.Random(6)
+    values = lambda words: set(band_values(WordIds().of(" ".join(words))).tolist())
+    nine = [f"n{i}" for i in range(9)]
+    assert values(nine) & values([*nine[:4], "x", *nine[5:]])
+    for n, least in ((5, 1), (10, 1), (20, 1), (40, 1), (45, 0.98), (50, 0.98), (60, 0.9), (200, 0.9)):
+        met = 0
+        for g in range(150):
+            a = [f"{g}.{i}" for i in range(n)]
+            b = list(a)
+            for i in r.sample(range(n), n // 5):
+                b[i] = f"x{i}"
+            met += bool(values(a) & values(b))
+        assert met >= least * 150, (n, met)
+
+
 def test_edge_rows(edges, nothing):
     got = sorted((tuple(r) for r in near_duplicates(edges).collect()), key=str)
     classes = dict(x for x in got if x[0] is not None)
