@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from seqloom.llm import queries
+from seqloom.llm.common import written
 from seqloom.llm.langid import SWITCH, WORDS, learn_languages
 from seqloom.llm.order_minhash import WordIds, similar
 from seqloom.llm.pipeline import LEAST_SCORE
@@ -120,6 +122,14 @@ def test_mixing_stage(stages):
     assert rows(after, *COLUMNS) == rows(want, *COLUMNS)
 
 
+def test_op9_mixes_whole_documents(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries, "written", lambda df, name: seen.append(written(df, name)) or seen[-1])
+    keys = rows(queries.op9_mix_sources(spark, sf_dir).collect(), "doc_id")
+    docs = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert rows(seen[0].collect(), *COLUMNS) == sorted((docs[k] for (k,) in keys), key=str)
+
+
 def test_encoding_stage(stages):
     _, before, after = stages[4]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
