@@ -121,9 +121,18 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def chunks(text: str) -> list[str] | None:
-    """Pieces cut before every space, the space left out: pre-tokens never cross such a cut while spaces stand alone. None: they don't."""
-    return None if "  " in text else text.split(" ")
+LONE = regex.compile(r"(?<=\S) (?=\S)")
+CROWDED = regex.compile(r" \s|\s ")
+
+
+def chunks(text: str) -> list[str]:
+    """Pieces of a text, each but the first with the space before it; pre-tokens never cross such a cut.
+
+    Only a space between two characters that aren't white space is cut at: in
+    a longer run of white space of any kind the run decides where tokens end.
+    """
+    cut = LONE.split(text) if CROWDED.search(text) else text.split(" ")
+    return [cut[0], *[f" {c}" for c in cut[1:]]] if len(cut) > 1 else cut
 
 
 def merge_rounds(vocab: Vocabulary, words: list[bytes]) -> list[np.ndarray]:

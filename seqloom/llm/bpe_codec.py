@@ -42,11 +42,7 @@ class Encoder:
             if special:
                 plan.append((self.vocab.special[part].to_bytes(4, "little"), []))
             elif part:
-                cut = chunks(part)
-                if cut is None:
-                    plan.append((None, self.vocab.words(part)))
-                else:
-                    plan.append((None, [cut[0], *[f" {c}" for c in cut[1:]]]))
+                plan.append((None, chunks(part)))
         return plan
 
     def _learn(self, new: set[str]) -> None:

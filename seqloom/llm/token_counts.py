@@ -42,11 +42,7 @@ class Counter(dict):
             if special:
                 n += 1
             elif part:
-                cut = chunks(part)
-                if cut is None:
-                    n += sum(map(self.__getitem__, self.vocab.words(part)))
-                else:
-                    n += self[cut[0]] + sum(map(self.__getitem__, [f" {c}" for c in cut[1:]]))
+                n += sum(map(self.__getitem__, chunks(part)))
         return n
 
 

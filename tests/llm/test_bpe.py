@@ -38,6 +38,28 @@ def test_ids_equal_the_library(library):
     assert got == want
 
 
+def test_spaces_beside_other_white_space(library):
+    """Runs that mix spaces with any other white space: the run decides where tokens end, not the space."""
+    r = random.Random(11)
+    blanks = [c for c in map(chr, range(0x3001)) if c.isspace()] + list("\u200b\u180e\ufeff\u2060")
+    words = ["x", "a", "the", "it's", "'s", "'ll", "12", "\u00e9", "\u6771\u4eac", "...", "<|endoftext|>", "Hello", "\U0001f600", "e\u0301", "\u0378", "_"]
+
+    def piece() -> str:
+        k = r.random()
+        if k < 0.35:
+            return " " * r.choice([1, 1, 1, 2, 3])
+        if k < 0.55:
+            return r.choice(blanks)
+        return r.choice(words) if k < 0.95 else chr(r.choice([r.randint(0x20, 0xD7FF), r.randint(0xE000, 0x10FFFF)]))
+
+    made = ["x \xa0 \xa0", " \xa0 \xa0", "a \xa0 \xa0 b", *["".join(piece() for _ in range(r.randint(1, 13))) for _ in range(100_000)]]
+    want = [e.ids for e in library.encode_batch(made, add_special_tokens=False)]
+    assert [len(x) for x in want[:3]] == [2, 1, 3]
+    enc, counter = Encoder(PATH), Counter(PATH)
+    wrong = [t for k in range(0, len(made), 1000) for t, ids, w in zip(made[k : k + 1000], enc.encode(made[k : k + 1000]), want[k : k + 1000], strict=True) if np.frombuffer(ids, "<u4").tolist() != w or counter.count(t) != len(w)]
+    assert not wrong
+
+
 def test_counts_equal_the_library(library):
     counter = Counter(PATH)
     assert [counter.count(t) for t in texts()] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts()]
