@@ -99,15 +99,18 @@ terms AS (
     UNION ALL
     SELECT source, k + 1, m, p * m / (k + 1), c + p * m / (k + 1) FROM p WHERE k < 80)
   SELECT source, c FROM p),
+docs AS (
+  SELECT row_number() OVER () AS pos, doc_id, source, lang, n_chars, sha256(text) AS text_sha256, coalesce(CAST(doc_id AS VARCHAR), 'null') AS ident
+  FROM documents),
 draws AS (
-  SELECT doc_id, d.source, parts, i,
-         CAST(CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || CAST(i AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
-  FROM documents d JOIN parts s ON d.source IS NOT DISTINCT FROM s.source, unnest(range(1, parts + 1)) AS x(i)),
+  SELECT pos, d.source,
+         CAST(CAST('0x' || substr(md5('17|' || ident || '|' || CAST(i AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+  FROM docs d JOIN parts s ON d.source IS NOT DISTINCT FROM s.source, unnest(range(1, parts + 1)) AS x(i)),
 numbers AS (
-  SELECT doc_id, d.source, count(*) AS n_copies
+  SELECT pos, count(*) AS n_copies
   FROM draws d JOIN terms t ON d.source IS NOT DISTINCT FROM t.source AND t.c <= d.u
-  GROUP BY doc_id, d.source)
-SELECT doc_id, source, CAST(n_copies AS INT) AS n_copies, CAST(copy AS INT) AS copy,
-       md5('order17|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || CAST(copy AS VARCHAR)) AS mix_key
-FROM numbers, unnest(range(1, n_copies + 1)) AS y(copy)
+  GROUP BY pos)
+SELECT doc_id, source, lang, n_chars, text_sha256, CAST(n_copies AS INT) AS n_copies, CAST(copy AS INT) AS copy,
+       md5('order17|' || ident || '|' || CAST(copy AS VARCHAR)) AS mix_key
+FROM docs JOIN numbers USING (pos), unnest(range(1, n_copies + 1)) AS y(copy)
 """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import line_dedup as line_dedup_op
 from . import imatch, mixing, vafile
 from .bpe_codec import bpe_decode, bpe_encode
-from .common import table, written
+from .common import table
 from .katz import katz_scores
 from .langid import identify_languages, learn_languages, remainder
 from .mincut_html import extract_text
@@ -68,8 +68,8 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = written(mixing.mix_sources(table(spark, sf_dir, "documents")), "mixed")  # whole documents, in order
-    return mixed.select("doc_id", "source", "n_copies", "copy", "mix_key")
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))  # whole documents move; the digest is made where they arrive
+    return mixed.select("doc_id", "source", "lang", "n_chars", F.sha2("text", 256).alias("text_sha256"), "n_copies", "copy", "mix_key")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
