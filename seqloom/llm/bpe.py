@@ -83,6 +83,8 @@ class Vocabulary:
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text without special tokens."""
+        if text.isalpha() or text[:1] == " " and text[1:].isalpha():  # letters of either's Unicode version, after a space or not
+            return [text]
         if not text.isascii() and self._later_unicode().search(text):
             return self._exact(text)
         return self._find(text)
