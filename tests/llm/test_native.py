@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,24 +131,62 @@ def test_top_k_edge_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(0))
 
     def floor(v):
-        return None if v is None or any(x is None or x != x or abs(x) == inf for x in v) else [int((x * 256) // 1) for x in v]
+        return None if v is None or any(x is None or x != x or abs(x) == inf for x in v) else [max(-(2**63), min(2**63 - 1, int((x * 256) // 1))) for x in v]
 
-    good = [(i, floor(v)) for i, v in rows if i is not None and floor(v) is not None]
-    want = []
-    for q, v in good:
-        if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(w) == len(v))[:3]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
-    small = df.where("vec_id <> 50 or vec_id is null")
-    got = sorted(tuple(r) for r in vafile.exact_top_k(small.where("vec_id % 50 = 0"), small, k=3).collect())
-    assert got == sorted((q, k, i, s) for q, k, i, s in _without(rows, floor, 50))
+    want = sorted(_best(rows, floor, 3))
+    got = sorted(tuple(r) for r in vafile.exact_top_k(df.where("vec_id % 50 = 0"), df, k=3).collect())
+    assert got == want and len(want) > 6
     assert vafile.exact_top_k(df.limit(0), df).count() == 0 and vafile.exact_top_k(df, df.limit(0)).count() == 0
-    assert want
 
 
-def _without(rows, floor, gone):
-    good = [(i, floor(v)) for i, v in rows if i is not None and i != gone and floor(v) is not None]
+def test_top_k_scores_beyond_64_bits(spark):
+    rows = [(0, [1e16, 1e16]), (1, [1e16, 9e15]), (2, [9e15, 1e16]), (3, [1e300, -1e300]), (4, [-1e16, -1e16]), (50, [-1e17, 1.0])]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vafile.exact_top_k(spark.createDataFrame([rows[0], rows[5]], "vec_id long, embedding array<double>"), spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect()}
+    most = 2**63 - 1
+    assert [got[0, r] for r in range(1, 6)] == [(1, most), (2, most), (3, -2560000000000000000), (4, -most), (50, -most)]
+    assert got[50, 1] == (4, most) and len(got) == 10
+
+
+@pytest.mark.parametrize("spread", [1.0, 1000.0])
+def test_top_k_equals_brute_force(spark, monkeypatch, spread):
+    """Several blocks, groups and chunks, a third of the vectors equal, few exact vectors read; wide values have inexact bounds."""
+    for name, value in (("CANDIDATES", 64), ("CHUNK", 256), ("GROUP", 16), ("TILE", 8)):
+        monkeypatch.setattr(vafile, name, value)
+    r = np.random.default_rng(3)
+    vectors = r.normal(0, spread, (1500, 16))
+    vectors[::3] = vectors[7]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = sorted(tuple(x) for x in vafile.exact_top_k(df.where("vec_id % 50 = 0"), df).collect())
+    q = np.floor(256 * vectors).astype(np.int64)
+    want = []
+    for i in range(0, 1500, 50):
+        scores = q @ q[i]
+        order = [j for j in np.lexsort((np.arange(1500), -scores)).tolist() if j != i][:5]
+        want += [(i, k + 1, j, int(scores[j])) for k, j in enumerate(order)]
+    assert got == sorted(want)
+
+
+def test_few_exact_vectors_are_read():
+    r = np.random.default_rng(4)
+    vectors = np.floor(256 * r.normal(0, 1000, (4000, 32))).astype(np.int64)
+    cells, low, width = vafile.grid(vectors)
+    middle, off = vafile.block_bounds(vectors[:20], low, width, cells)
+    true = vectors[:20].astype(object) @ vectors.T.astype(object)
+    assert (np.abs(true.astype(float) - middle) <= off[:, None]).all()
+    read = 0
+    for i in range(20):
+        keep = vafile.best_bounds(np.zeros(4000), np.arange(4000), middle[i] - off[i], middle[i] + off[i], 5)
+        keep = keep[np.argsort(-middle[i][keep], kind="stable")]
+        best, n = vafile.read_in_order(vectors[i], keep, middle[i][keep] + off[i], vectors[keep], 5)
+        assert [j for j, _ in best] == np.argsort(-true[i].astype(float), kind="stable")[:5].tolist()
+        read += n
+    assert read <= 20 * 40  # a hundredth of the vectors
+
+
+def _best(rows, floor, most):
+    good = [(i, floor(v)) for i, v in rows if i is not None and floor(v) is not None]
     for q, v in good:
         if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(w) == len(v))[:3]
-            yield from ((q, k + 1, i, -s) for k, (s, i) in enumerate(scored))
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(w) == len(v))[:most]
+            yield from ((q, k + 1, i, max(-(2**63) + 1, min(2**63 - 1, -s))) for k, (s, i) in enumerate(scored))
