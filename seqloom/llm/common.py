@@ -26,16 +26,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one on a local master; else an error."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="seqloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def deleted_at_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the application ends, if nothing deletes it before."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: its lineage ends there, and lost executors can't take it along."""
     spark = df.sparkSession
@@ -48,6 +56,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    deleted_at_exit(spark, path)
     table_ = spark.read.schema(df.schema).parquet(path)
     table_.scratch_path = path
     return table_

@@ -1,20 +1,29 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
 A text's shingles of SHINGLE words are labelled with their occurrence number.
-Each of BANDS random orders of the labelled shingles takes the ORDERED least
-ones and keeps the order in which the text has them: equal values are likely
-only if the texts agree in content and in order, that is, in edit distance.
-Texts of up to SHORT words have bands of one least shingle of two words
-instead, in which similar texts of any length agree almost surely; texts whose
-partners may lie on either side have both.
+Each of ORDERS random orders of the labelled shingles takes the LEAST least
+ones and keeps the order in which the text has them. Every two of them, in that
+order, make a band value: equal values are likely only if the texts agree in
+content and in order, that is, in edit distance. Taking all pairs of four
+minima finds more than as many orders of two: at a shingle resemblance of 0.2,
+which a fifth of scattered words leaves, an order brings a pair together with
+probability 0.35, sixteen of them nearly always (measured: 0.96 of pairs of 60
+words with a fifth replaced, 0.99 of 200 words, all with a sixth replaced).
+
+Texts of up to SHORT words have SHORT_ORDERS values of one least shingle of two
+words instead, in which similar texts of any length agree almost surely, as few
+of their five-word shingles outlive an edit; texts whose partners may lie on
+either side have both.
 
 1. Exact copies fold into the least id.
-2. Texts with an equal value in a band are candidates, unless their lengths or
-   word histograms differ by more than the similarity allows: an edit changes
-   two counts by one, so none is lost. A bucket of FEW texts compares all of
-   them. A larger one compares each with a leader at first; once these pairs
-   are verified, all its texts are compared but those that verified links
-   connect already, so a bucket of copies costs few pairs.
+2. Texts with an equal band value are candidates, unless their lengths differ
+   by more than the similarity allows. A bucket of FEW texts compares all of
+   them at once. A larger one is cut into classes of length, in which and next
+   to which all similar texts lie, and classes into blocks of BLOCK texts. A
+   block compares each text with a leader at first. Once these pairs are
+   verified, all pairs of blocks are compared, but for texts that verified
+   links connect already, so a bucket of copies costs few pairs. There word
+   histograms rule pairs out: an edit changes two counts by one, so none is lost.
 3. Candidates are aligned word by word in a band as wide as the similarity
    allows (1 - edits / words of the longer >= 0.8): at first along the words
    that both texts have once, which proves most links; where that doesn't, by
@@ -38,20 +47,22 @@ from .bloom import bloom_of, bloom_positions, bloom_test
 from .common import column, dealt_anew, delete_written, id_text, partitions_for, written
 from .components import components
 
-SHINGLE, ORDERED, BANDS = 3, 2, 32
-SHORT = 40
+SHINGLE, LEAST, ORDERS = 5, 4, 16
+SHORT, SHORT_ORDERS = 40, 32
 BUCKETS = 96  # of a text's word histogram
 SIMILAR = 0.8
+CLASS = 1.26  # lengths of similar texts differ by a quarter at most, and so lie in one class or in two neighbouring ones
 FEW = 32  # texts of a bucket that are all compared at once
+BLOCK = 2000  # texts of a larger bucket that meet in one step
 WIDE = 200_000  # shingles times bands at once
 PER_TASK = 500  # texts aligned with one copy of a leader
 CACHE = 150_000
 
 _rng = np.random.default_rng(20_240_501)
-FACTORS = _rng.integers(1, 1 << 62, BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
-MASKS = _rng.integers(0, 1 << 62, BANDS, np.uint64)
+FACTORS = _rng.integers(1, 1 << 62, max(ORDERS, SHORT_ORDERS), np.uint64) * np.uint64(2) + np.uint64(1)
+MASKS = _rng.integers(0, 1 << 62, max(ORDERS, SHORT_ORDERS), np.uint64)
 POLY = _rng.integers(1, 1 << 62, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
-JOIN = _rng.integers(1, 1 << 62, ORDERED, np.uint64) * np.uint64(2) + np.uint64(1)
+JOIN = _rng.integers(1, 1 << 62, 2, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -91,24 +102,25 @@ def labelled(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     return mixed(h + nth * np.uint64(0x9E3779B97F4A7C15))
 
 
-def order_sketch(words: np.ndarray, shingle: int = SHINGLE, ordered: int = ORDERED) -> np.ndarray:
-    """A value for each band: the hash of the `ordered` least labelled shingles, in text order."""
+def order_sketch(words: np.ndarray, shingle: int = SHINGLE, least: int = LEAST, orders: int = ORDERS) -> np.ndarray:
+    """The values of each order: hashes of every two of its `least` least labelled shingles, in text order; of the one, if there is but one."""
     h = labelled(words, shingle)
-    n, take = len(h), min(ordered, len(h))
-    out = np.empty(BANDS, np.uint64)
+    n, take = len(h), min(least, len(h))
+    first, second = np.triu_indices(take, 1)
+    out = np.empty((orders, max(1, len(first))), np.uint64)
     step = max(1, WIDE // n)
-    for b in range(0, BANDS, step):
-        v = (h[None, :] ^ MASKS[b : b + step, None]) * FACTORS[b : b + step, None]
+    for b in range(0, orders, step):
+        v = (h[None, :] ^ MASKS[b : min(b + step, orders), None]) * FACTORS[b : min(b + step, orders), None]
         v ^= v >> np.uint64(29)
         v *= np.uint64(0x81DADEF4BC2DD44D)
-        at = np.sort(np.argpartition(v, take - 1, axis=1)[:, :take], axis=1)
-        out[b : b + step] = (h[at] * JOIN[:take]).sum(axis=1, dtype=np.uint64)
-    return mixed(out + np.arange(BANDS, dtype=np.uint64))
+        own = h[np.sort(np.argpartition(v, take - 1, axis=1)[:, :take], axis=1)]
+        out[b : b + step] = own[:, first] * JOIN[0] + own[:, second] * JOIN[1] if take > 1 else own * JOIN[0]
+    return mixed(out + np.arange(orders, dtype=np.uint64)[:, None]).ravel()
 
 
 def band_values(words: np.ndarray) -> np.ndarray:
     """The values by which a text meets others: similar ones of at most SHORT / SIMILAR words in short bands, others in long ones."""
-    short = [mixed(order_sketch(words, 2, 1))] if len(words) <= SHORT / SIMILAR else []
+    short = [mixed(order_sketch(words, 2, 1, SHORT_ORDERS))] if len(words) <= SHORT / SIMILAR else []
     return np.concatenate([*short, *([order_sketch(words)] if len(words) > SHORT else [])])
 
 
@@ -250,20 +262,20 @@ def fits(n_a: np.ndarray, n_b: np.ndarray, small_a: np.ndarray, small_b: np.ndar
     return ok
 
 
-BAND = "key bigint, id bigint, n int, small binary"
-MET = "lead bigint, id bigint, key bigint, n int, small binary"
-MET_SCHEMA = pa.schema([("lead", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("small", pa.binary())])
+BAND = "key bigint, id bigint, n int"
+MET = "lead bigint, id bigint, key bigint, n int"
+MET_SCHEMA = pa.schema([("lead", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("n", pa.int32())])
+PAIR = "lead bigint, id bigint"
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each band of a text, with its word histogram."""
+    """A row for each distinct band value of a text."""
     for batch in batches:
         for k in range(0, batch.num_rows, 2000):
             part = batch.slice(k, 2000)
-            sketch = part.column(2).to_pylist()
-            at = pa.array(np.repeat(np.arange(len(sketch)), [len(s) // 8 for s in sketch]))
-            key = pa.array(np.frombuffer(b"".join(sketch), "<i8"))
-            yield pa.RecordBatch.from_arrays([key, part.column(0).take(at), part.column(1).take(at), part.column(3).take(at)], names=["key", "id", "n", "small"])
+            values = [np.unique(np.frombuffer(s, "<i8")) for s in part.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), part.column(0).take(at), part.column(1).take(at)], names=["key", "id", "n"])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -294,60 +306,92 @@ def _matrix(small: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(small.to_pylist()), np.uint8).reshape(len(small), -1)
 
 
-def _met(lead: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    none = [pa.nulls(len(ids), MET_SCHEMA.field(k).type) for k in ("key", "n", "small")]
-    return pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(ids, pa.int64()), *none], schema=MET_SCHEMA)
+def _pair(lead: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(ids, pa.int64())], names=["lead", "id"])
+
+
+def _of_large(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch["id"], batch["key"], batch["n"]], schema=MET_SCHEMA)
+
+
+def _of_small(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Whole buckets: pairs of those of FEW texts that lengths allow, the rows of others."""
+    key, ids, n = rows["key"].to_numpy(), rows["id"].to_numpy(), rows["n"].to_numpy()
+    size = _runs(key)[1]
+    size = np.repeat(size, size)
+    at = np.flatnonzero((size > 1) & (size <= FEW))
+    k = key[at]
+    for step in range(1, min(FEW, len(at))):
+        i = np.flatnonzero(k[step:] == k[:-step])
+        if not len(i):
+            break
+        a, b = at[i], at[i + step]
+        ok = np.abs(n[a] - n[b]) <= np.floor((1 - SIMILAR) * np.maximum(n[a], n[b]) + 1e-9)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]]), pa.nulls(ok.sum(), pa.int64()), pa.nulls(ok.sum(), pa.int32())], schema=MET_SCHEMA)
+    if (size > FEW).any():
+        yield _of_large(rows.filter(pa.array(size > FEW)))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of buckets of FEW texts; of larger ones the pairs with leaders, and the rows themselves, which have a key."""
+    """Pairs of small buckets, rows of large ones with their key. Rows arrive sorted by key; no more than a batch and FEW of them are held."""
+    tail: list[pa.RecordBatch] = []
+    crowded = None  # the key of a large bucket whose rows go on
+    for batch in batches:
+        if crowded is not None:
+            more = int(np.searchsorted(batch["key"].to_numpy(), crowded, "right"))
+            yield _of_large(batch.slice(0, more))
+            batch = batch.slice(more)
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*tail, batch]).combine_chunks().to_batches()[0]
+        key = rows["key"].to_numpy()
+        last = int(np.searchsorted(key, key[-1], "left"))
+        if last:
+            yield from _of_small(rows.slice(0, last))
+        tail, crowded = [rows.slice(last)], None
+        if len(rows) - last > FEW:
+            yield _of_large(tail[0])
+            tail, crowded = [], key[-1]
+    if tail:
+        yield from _of_small(tail[0])
+
+
+def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block's texts and the first text, by length and id, that could be similar to each."""
     for table in _buckets(batches):
-        key, ids, n = table["key"].to_numpy(), table["id"].to_numpy(), table["n"].to_numpy()
-        start, size = _runs(key)
-        at = np.flatnonzero(np.repeat((size > 1) & (size <= FEW), size))
-        if len(at):
-            k, small = key[at], _matrix(table["small"].take(pa.array(at)))
-            for step in range(1, FEW):
-                i = np.flatnonzero(k[step:] == k[:-step])
-                if not len(i):
-                    break
-                j = i + step
-                ok = fits(n[at[i]], n[at[j]], small[i], small[j])
-                yield _met(ids[at[i[ok]]], ids[at[j[ok]]])
-        for c, s in zip(start[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+        start, size = _runs(table["key"].to_numpy())
+        for c, s in zip(start.tolist(), size.tolist(), strict=True):
             own = table.slice(c, s)
-            small = _matrix(own["small"])
-            left = np.lexsort((ids[c : c + s], n[c : c + s])) + c
+            ids, n, small = own["id"].to_numpy(), own["n"].to_numpy(), _matrix(own["small"])
+            left = np.lexsort((ids, n))
             while len(left) > 1:
                 lead, left = left[0], left[1:]
-                within = left[: np.searchsorted(n[left], n[lead] / SIMILAR + 1, "right")]
-                ok = fits(n[within], n[lead], small[within - c], small[lead - c])
+                ok = fits(n[left], n[lead], small[left], small[lead])
                 if ok.any():
-                    yield _met(np.full(ok.sum(), ids[lead]), ids[within[ok]])
-                    left = np.concatenate([within[~ok], left[len(within) :]])
-            for rows in own.select(["id", "key", "n", "small"]).to_batches():
-                yield pa.RecordBatch.from_arrays([pa.nulls(rows.num_rows, pa.int64()), *rows.columns], schema=MET_SCHEMA)
+                    yield _pair(np.full(ok.sum(), ids[lead]), ids[left[ok]])
+                    left = left[~ok]
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket that no verified links connect; the texts of its largest component aren't compared with each other."""
+    """Pairs of two blocks (or of one with itself) that no verified links connect; the texts of the largest component aren't compared with each other."""
     for table in _buckets(batches):
         start, size = _runs(table["key"].to_numpy())
         for c, s in zip(start.tolist(), size.tolist(), strict=True):
             own = table.slice(c, s)
-            root, ids, n = own["root"].to_numpy(), own["id"].to_numpy(), own["n"].to_numpy()
+            root = own["root"].to_numpy()
             if (root == root[0]).all():
                 continue
+            ids, n, side, small = own["id"].to_numpy(), own["n"].to_numpy(), own["side"].to_numpy(), _matrix(own["small"])
             order = np.lexsort((ids, n))
-            root, ids, n, small = root[order], ids[order], n[order], _matrix(own["small"])[order]
+            root, ids, n, side, small = root[order], ids[order], n[order], side[order], small[order]
             roots, members = np.unique(root, return_counts=True)
             most = roots[members.argmax()]
             for i in np.flatnonzero(root != most).tolist():
                 j = np.arange(np.searchsorted(n, n[i] * SIMILAR - 1), np.searchsorted(n, n[i] / SIMILAR + 1, "right"))
-                j = j[(root[j] != root[i]) & ((j > i) | (root[j] == most))]
+                j = j[(root[j] != root[i]) & ((j > i) | (root[j] == most)) & ((side[j] != side[i]) | (side[i] == 0))]
                 j = j[fits(n[j], n[i], small[j], small[i])]
                 if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), ids[i])), pa.array(ids[j])], names=["lead", "id"])
+                    yield _pair(np.full(len(j), ids[i]), ids[j])
 
 
 def _words(shared, bits: int):
@@ -402,23 +446,58 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(near, "near")
 
 
+def _blocked(large: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows of large buckets with their class of length, their block in it, and how many blocks their class and the two beside it have."""
+    classed = large.withColumn("class", F.floor(F.log(CLASS, F.col("n"))).cast("int"))
+    sizes = classed.groupBy("key", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    beside = lambda step, name: sizes.select("key", (F.col("class") + step).alias("class"), F.col("blocks").alias(name))
+    around = sizes.join(beside(1, "below"), ["key", "class"], "left").join(beside(-1, "above"), ["key", "class"], "left").na.fill(0, ["below", "above"])
+    sized = classed.join(around.select(dealt_anew("key"), "class", "blocks", "below", "above"), ["key", "class"])
+    return sized.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")).join(counts, ["id", "n"])
+
+
+def _met_blocks(rows: DataFrame) -> DataFrame:
+    """A row for each pair of blocks that a text's block takes part in, under the pair's key; side 0 is a block with itself."""
+    pair = lambda k, a, l, b, side: F.struct(F.xxhash64("key", k, a, l, b).alias("met"), F.lit(side).alias("side"))
+    own, block, none = F.col("class"), F.col("block"), F.array().cast("array<struct<met:bigint,side:int>>")
+    steps = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    within = F.concat(
+        F.transform(steps(F.lit(0), block - 1), lambda v: pair(own, v, own, block, 2)),
+        F.array(pair(own, block, own, block, 0)),
+        F.transform(steps(block + 1, F.col("blocks") - 1), lambda v: pair(own, block, own, v, 1)),
+    )
+    up = F.transform(steps(F.lit(0), F.col("above") - 1), lambda v: pair(own, block, own + 1, v, 1))
+    down = F.transform(steps(F.lit(0), F.col("below") - 1), lambda v: pair(own - 1, v, own, block, 2))
+    each = F.concat(none, within, up, down)
+    return rows.select(F.explode(each).alias("x"), "id", "n", "root", "small").select(F.col("x.met").alias("key"), F.col("x.side").alias("side"), "id", "n", "root", "small")
+
+
 def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """a, b, similarity of verified links between different texts; ids stand for all their exact copies.
 
     Every pair that meets in a band is verified, or verified links connect it.
     """
     n = partitions_for(docs.sparkSession)
-    distinct = sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "sketch", "counts")).alias("x")).select("x.*")
-    met = written(distinct.mapInArrow(_bands, BAND).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet, MET), "met")
-    pairs = written(_pairs(met), "pairs")
+    dealt = lambda df: df.repartition(n, "key").sortWithinPartitions("key")
+    distinct = sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("x")).select("x.*")
+    met = written(dealt(distinct.mapInArrow(_bands, BAND)).mapInArrow(_meet, MET), "met")
+    large = met.where("key is not null").select("key", "id", "n")
+    crowded = not large.isEmpty()
+    candidates = met.where("lead is not null").select("lead", "id")
+    if crowded:
+        counts = sketches.select("id", "n", F.col("counts").alias("small")).join(large.select("id").distinct(), "id", "left_semi").distinct()
+        blocks = written(_blocked(large, counts), "blocks")
+        led = dealt(blocks.select(F.xxhash64("key", "class", "block").alias("key"), "id", "n", "small")).mapInArrow(_lead, PAIR)
+        candidates = candidates.union(led)
+    pairs = written(_pairs(candidates), "pairs")
     links = _verified(docs, pairs)
-    large = met.where("key is not null")
-    if not large.isEmpty():
-        rooted = large.join(components(links), F.col("id") == F.col("node"), "left").select("key", F.coalesce("root", "id").alias("root"), "id", "n", "small")
-        crossed = rooted.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_cross, "lead bigint, id bigint")
+    if crowded:
+        rooted = blocks.join(components(links), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+        mixed_ = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select(dealt_anew("key"))
+        crossed = dealt(_met_blocks(rooted.join(mixed_, "key", "left_semi"))).mapInArrow(_cross, PAIR)
         more = written(_pairs(crossed).join(pairs, ["lead", "id"], "left_anti"), "pairs")
         links = links.union(_verified(docs, more))
-        delete_written(more)
+        delete_written(more, blocks)
     delete_written(met, pairs)
     return links
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_codec import bpe_decode, bpe_encode
-from .common import shared_dir
+from .common import deleted_at_exit, shared_dir
 from .langid import identify_languages, learn_languages
 from .line_dedup import line_dedup
 from .mixing import mix_sources
@@ -32,13 +32,22 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near duplicates; documents without an id all stay."""
-    first = near_duplicates(docs).where("class_id = doc_id").select("doc_id")
-    repeated = not first.groupBy("doc_id").count().where("count > 1").isEmpty()
-    kept = docs.join(first.distinct(), "doc_id", "left_semi")
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null")).select("doc_id", "text", "lang", "source", "n_chars")
+    """The document with the least id of each class of near duplicates; documents without an id all stay.
+
+    Where ids repeat, each text of an id is a document of its own: different
+    texts under one id both stay, and of equal texts under one id, or in one
+    class, the first by id, text hash, language, source and length does.
+    """
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    known, nameless = plain.where("doc_id is not null"), plain.where("doc_id is null")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = known.join(near_duplicates(known).where("class_id = doc_id").select("doc_id"), "doc_id", "left_semi")
+    else:
+        keyed = known.withColumn("own", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+        classes = keyed.select("own", "doc_id").distinct().join(near_duplicates(keyed, "own").distinct(), "own")
+        first = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "own")).alias("x")).select("x.own")
+        kept = keyed.join(first, "own", "left_semi").groupBy("own").agg(F.min(F.struct("doc_id", "text", "lang", "source", "n_chars")).alias("x")).select("x.*")
+    return kept.unionByName(nameless).select(*plain.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +80,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = f"{shared_dir(spark)}/seqloom/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
+        deleted_at_exit(spark, f"{top}/{k}")
         docs = spark.read.parquet(f"{top}/{k}")
     return docs

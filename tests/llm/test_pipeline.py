@@ -13,7 +13,6 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from seqloom.llm import queries
-from seqloom.llm.common import written
 from seqloom.llm.langid import SWITCH, WORDS, learn_languages
 from seqloom.llm.order_minhash import WordIds, similar
 from seqloom.llm.pipeline import LEAST_SCORE
@@ -86,15 +85,13 @@ def test_line_stage(stages):
 
 def test_near_stage(stages):
     _, before, after = stages[2]
-    ids, texts = WordIds(), {}
-    for r in before:
-        if r["doc_id"] is not None:
-            texts.setdefault(r["doc_id"], []).append(r["text"] or "")
-    flat = [(i, t, ids.of(t)) for i, ts in texts.items() for t in ts]
-    links = [(a[0], b[0]) for k, a in enumerate(flat) for b in flat[:k] if a[1] == b[1] or len(a[2]) and len(b[2]) and similar(a[2], b[2]) is not None]
+    ids = WordIds()
+    flat = sorted({(r["doc_id"], r["text"] or "") for r in before if r["doc_id"] is not None})
+    words = [ids.of(t) for _, t in flat]
+    links = [(k, j) for k, (_, a) in enumerate(flat) for j in range(k) if a == flat[j][1] or len(words[k]) and len(words[j]) and similar(words[k], words[j]) is not None]
     root = union_find(links)
-    want = [i for i in texts if root.get(i, i) == i]
-    assert sorted(r["doc_id"] for r in after if r["doc_id"] is not None) == sorted(want)
+    want = [x for k, x in enumerate(flat) if root.get(k, k) == k]
+    assert sorted((r["doc_id"], r["text"] or "") for r in after if r["doc_id"] is not None) == want
     assert rows([r for r in after if r["doc_id"] is None], *COLUMNS) == rows([r for r in before if r["doc_id"] is None], *COLUMNS)
     assert set(rows(after, *COLUMNS)) <= set(rows(before, *COLUMNS))
 
@@ -122,12 +119,20 @@ def test_mixing_stage(stages):
     assert rows(after, *COLUMNS) == rows(want, *COLUMNS)
 
 
-def test_op9_mixes_whole_documents(spark, sf_dir, monkeypatch):
-    seen = []
-    monkeypatch.setattr(queries, "written", lambda df, name: seen.append(written(df, name)) or seen[-1])
-    keys = rows(queries.op9_mix_sources(spark, sf_dir).collect(), "doc_id")
-    docs = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    assert rows(seen[0].collect(), *COLUMNS) == sorted((docs[k] for (k,) in keys), key=str)
+def test_op9_mixes_whole_documents(spark, sf_dir):
+    got = queries.op9_mix_sources(spark, sf_dir)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" in plan.split("Exchange hashpartitioning(mix_key")[0]  # the text itself moves
+    docs = {r["doc_id"]: (r["lang"], r["source"], r["n_chars"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert all(docs[r["doc_id"]] == (r["lang"], r["source"], r["n_chars"], r["text_sha256"]) for r in got.collect())
+
+
+def test_near_stage_keeps_different_texts_of_one_id(spark, sf_dir):
+    a, b = "one two three four five six seven", "entirely other words stand here now"
+    rows = [(5, a, "x"), (5, b, "x"), (6, a, "x"), (7, b, "x"), (5, a, "w"), (None, a, "x"), (8, None, "x"), (8, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("doc_id", "text", "lang", "'s' as source", "1 as n_chars")
+    got = corpus_pipeline.STAGES[2][1](spark, docs, sf_dir).collect()
+    assert sorted(((r["doc_id"], r["text"], r["lang"]) for r in got), key=str) == sorted([(5, a, "w"), (5, b, "x"), (8, None, "x"), (None, a, "x")], key=str)
 
 
 def test_encoding_stage(stages):
