@@ -13,7 +13,7 @@ from .bpe_codec import bpe_decode, bpe_encode
 from .common import table
 from .katz import katz_scores
 from .langid import identify_languages, learn_languages, remainder
-from .mincut_html import extract_text
+from .mincut_html import extract_text, learn_blocks
 from .order_minhash import near_duplicates
 from .token_counts import token_counts
 
@@ -47,7 +47,8 @@ def op4_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    pages = table(spark, sf_dir, "pages")
+    return extract_text(pages, weights=learn_blocks(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
