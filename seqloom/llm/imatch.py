@@ -8,7 +8,8 @@ Small subsets often miss what an edit changed, large ones are strict, so the
 share of equal hashes grows with what two texts have in common.
 
 Terms in more than `low` of the documents are at most (mean distinct terms of a
-document) / `low`, whatever the corpus's size: that bounds what is broadcast.
+document) / `low`, whatever the corpus's size. A lexicon of up to BROADCAST_TERMS
+terms, counted before, is broadcast; a larger one is joined.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, partitions_for
+from .common import column, partitions_for, written
 
 LEVELS = [2, 3, 4, 4, *[5] * 4, *[6] * 6, *[7] * 8, *[8] * 10]  # subset k holds one term in 2 ** LEVELS[k]
 SUBSETS = len(LEVELS)
 LOW, HIGH = 0.002, 0.05
-MAX_BUCKETS = 4096
-BROADCAST_TERMS = 2_000_000
+MAX_BUCKETS = 1 << 15  # ranges of ids; the cuts are part of the plan
+BROADCAST_TERMS = 2_000_000  # a larger lexicon is joined instead
 
 
 def terms(text: Column) -> Column:
@@ -133,8 +134,12 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tag = lambda text, k: F.transform(terms(F.col(text)), lambda w: F.struct(F.lit(k).alias("which"), w.alias("term"), none.alias("info")))
     own = F.array(F.struct(F.lit(2).alias("which"), F.lit("").alias("term"), info.alias("info")))
     spread = rows.select("bucket", "at", F.explode(F.concat(own.cast(f"array<{kind}>"), tag("text", 0).cast(f"array<{kind}>"), tag("edited", 1).cast(f"array<{kind}>"))).alias("x")).select("bucket", "at", "x.*")
-    words = lexicon(docs, low, high).unionByName(df.sparkSession.createDataFrame([("", 0)], "term string, mask int"))  # "" is every row's own
-    known = spread.join(F.broadcast(words), "term")
+    words = written(lexicon(docs, low, high), "lexicon")
+    if words.count() <= BROADCAST_TERMS:
+        every = words.unionByName(df.sparkSession.createDataFrame([("", 0)], "term string, mask bigint"))  # "" is every row's own
+        known = spread.join(F.broadcast(every), "term")
+    else:
+        known = spread.where("which < 2").join(words, "term").unionByName(spread.where("which = 2").withColumn("mask", F.lit(0).cast("bigint")))
     of = lambda k: F.collect_list(F.when(F.col("which") == k, F.struct("term", "mask")))
     met = known.groupBy("bucket", "at").agg(of(0).alias("found"), of(1).alias("found_edited"), F.max("info").alias("i"))
     flat = met.select("bucket", "at", "i.*", F.sort_array("found").alias("found"), F.sort_array("found_edited").alias("found_edited"))

@@ -103,6 +103,13 @@ def test_equal_texts_have_equal_fingerprints_and_edits_keep_some(spark):
     assert sum(x["near_edited"] for x in got) > 3 * sum(x["near_next"] for x in got)
 
 
+def test_a_large_lexicon_is_joined(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted(tuple(r) for r in imatch.digest(imatch.fingerprints(docs)).collect())
+    monkeypatch.setattr(imatch, "BROADCAST_TERMS", 0)
+    assert sorted(tuple(r) for r in imatch.digest(imatch.fingerprints(docs)).collect()) == want
+
+
 def test_mixture_has_the_target_weights(spark):
     df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "rare").otherwise("hot").alias("source"), F.lit(1).alias("copy"))
     got = mixing.mix_sources(df, weights={"rare": 0.75, "hot": 0.25, "absent": 9.0} | {}, epochs=1.0)
