@@ -88,15 +88,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class LanguageModel:
     """Log probabilities of hashed trigrams and the scripts of each learned language; its size doesn't depend on the corpus."""
 
-    def __init__(self, rows: list[tuple[str, int, int]]):
-        self.langs = sorted({r[0] for r in rows})
-        at = {x: i for i, x in enumerate(self.langs)}
-        grams, letters = np.zeros((TABLE, len(at))), np.zeros((len(NAMES), len(at)))
-        for lang, cell, n in rows:
-            if cell >= 0:
-                grams[cell, at[lang]] = n
-            else:
-                letters[-1 - cell, at[lang]] = n
+    def __init__(self, langs: list[str], cells: np.ndarray, counts: np.ndarray):
+        """Each entry is a language, a cell (a trigram's row, or -1 - script) and its count; a language may have many entries."""
+        self.langs, lang = np.unique(np.array(langs, object).astype(str), return_inverse=True) if len(langs) else (np.empty(0, str), np.empty(0, np.int64))
+        self.langs = [str(x) for x in self.langs]
+        grams, letters = np.zeros((TABLE, len(self.langs))), np.zeros((len(NAMES), len(self.langs)))
+        gram = cells >= 0
+        np.add.at(grams, (cells[gram], lang[gram]), counts[gram])
+        np.add.at(letters, (-1 - cells[~gram], lang[~gram]), counts[~gram])
         total = grams.sum(axis=0)
         self.table = np.log((grams + SMOOTH) / (total + SMOOTH * TABLE)).astype(np.float32)
         own = letters >= SHARE * letters.sum(axis=0)
@@ -120,12 +119,13 @@ def learn_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = df.select(column(df, id_col).alias("id"), column(df, text_col).cast("string").alias("text"), column(df, lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
-        return LanguageModel([])
+        return LanguageModel([], np.empty(0, np.int64), np.empty(0, np.int64))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(11)), F.lit(1_000_000)) / 1e6
     sample = rows.where(draw < F.element_at(share, F.col("lang")))
     cells = sample.select("lang", "text").mapInArrow(_count, "lang string, cell bigint, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    return LanguageModel([tuple(r) for r in cells.collect()])  # TABLE + scripts rows a language at most
+    found = cells.toArrow()  # TABLE + scripts rows a language at most, as arrays
+    return LanguageModel(found["lang"].to_pylist(), found["cell"].to_numpy(), found["n"].to_numpy())
 
 
 def viterbi(scores: np.ndarray, lens: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
@@ -134,7 +134,7 @@ def viterbi(scores: np.ndarray, lens: np.ndarray, penalty: float = SWITCH) -> np
     order = np.argsort(-lens, kind="stable")
     start, n = starts[order], lens[order]
     active = np.searchsorted(-n, -np.arange(1, int(n.max(initial=0)) + 1), "right")  # texts with more than t words
-    labels, best, moved = np.zeros(len(scores), np.int8), np.zeros(len(scores), np.int8), np.zeros(scores.shape, bool)
+    labels, best, moved = np.zeros(len(scores), np.int32), np.zeros(len(scores), np.int32), np.zeros(scores.shape, bool)
     if not len(active):
         return labels
     v = scores[start[: active[0]]].astype(np.float64)
@@ -147,7 +147,7 @@ def viterbi(scores: np.ndarray, lens: np.ndarray, penalty: float = SWITCH) -> np
         jump = now < top
         moved[at] = jump
         v[:k] = np.where(jump, top, now) + scores[at]
-    label = v.argmax(axis=1).astype(np.int8)
+    label = v.argmax(axis=1).astype(np.int32)
     for t in range(len(active) - 1, 0, -1):
         k = active[t]
         at = start[:k] + t

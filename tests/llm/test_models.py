@@ -137,6 +137,58 @@ def test_held_out_languages_and_spans(spark, sf_dir):
     assert row["spans"][1]["first_word"] + row["spans"][1]["n_words"] == n and 0 < row["score"] < 1
 
 
+def test_languages_equal_brute_force(spark, sf_dir):
+    """Counts, scores, paths and spans of each text by plain loops over its words' trigrams."""
+    import regex
+
+    from seqloom.llm import langid
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = learn_languages(docs)
+    rows = docs.collect()
+
+    def cell(tri):
+        a, b, c = map(ord, tri)
+        h = a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D
+        h = (h ^ h >> 15) * 0x27D4EB2F & 0xFFFFFFFFFF
+        return (h ^ h >> 17) % langid.TABLE
+
+    split = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    grams, sums = {}, {}
+    for r in rows:
+        if r["lang"] is not None and r["text"] is not None:
+            for w in split(r["text"]):
+                for i in range(len(w)):
+                    k = cell(f" {w} "[i : i + 3])
+                    grams[r["lang"], k] = grams.get((r["lang"], k), 0) + 1
+                    sums[r["lang"]] = sums.get(r["lang"], 0) + 1
+    langs = sorted(sums)
+    assert model.langs == langs
+    found = {r["doc_id"]: r for r in identify_languages(docs, model).collect()}
+    for r in [x for x in rows if len(x["text"] or "") < 3000][:60]:
+        words = split(r["text"])
+        best = {x: (0.0, []) for x in langs}
+        for w in words:
+            own = {x: sum(math.log((grams.get((x, cell(f" {w} "[i : i + 3])), 0) + langid.SMOOTH) / (sums[x] + langid.SMOOTH * langid.TABLE)) for i in range(len(w))) for x in langs}
+            now = {}
+            for x in langs:  # all of the data is Latin, so scripts narrow nothing
+                before = max(langs, key=lambda y: best[y][0] - (langid.SWITCH if y != x else 0) * bool(best[y][1]))
+                now[x] = (best[before][0] - (langid.SWITCH if before != x else 0) * bool(best[before][1]) + own[x], [*best[before][1], x])
+            best = now
+        path = max(best.values(), key=lambda v: v[0])[1]
+        got = found[r["doc_id"]]
+        assert [s["lang"] for s in got["spans"] for _ in range(s["n_words"])] == path
+        letters = {x: sum(len(w) for w, y in zip(words, path, strict=True) if x == y) for x in langs}
+        assert not words or got["score"] == pytest.approx(max(letters.values()) / sum(letters.values()))
+
+
+def test_more_languages_than_a_byte_holds(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}qz" * 3, f"l{i:03d}") for i in range(140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in identify_languages(df, learn_languages(df)).collect()}
+    assert got == {i: x for i, _, x in rows}
+
+
 def test_languages_of_other_scripts(spark):
     rows = [(i, t, x) for i, (t, x) in enumerate([("это русский текст о погоде и природе", "ru"), ("ceci est un texte en francais", "fr"), ("this is a text in english", "en")] * 5)]
     model = learn_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
