@@ -17,13 +17,15 @@ either side have both.
 
 1. Exact copies fold into the least id.
 2. Texts with an equal band value are candidates, unless their lengths differ
-   by more than the similarity allows. A bucket of FEW texts compares all of
-   them at once. A larger one is cut into classes of length, in which and next
-   to which all similar texts lie, and classes into blocks of BLOCK texts. A
-   block compares each text with a leader at first. Once these pairs are
-   verified, all pairs of blocks are compared, but for texts that verified
-   links connect already, so a bucket of copies costs few pairs. There word
-   histograms rule pairs out: an edit changes two counts by one, so none is lost.
+   by more than the similarity allows. A bucket of FEW texts sends all its pairs.
+   Larger buckets send none: those whose least id is the same, as a common
+   passage makes them, are one crowd. A crowd is cut into classes of length, in
+   which and next to which all similar texts lie, and classes into blocks, whose
+   texts meet with their words, each pair of blocks in one place. There each
+   pair is ruled out by lengths or word histograms (an edit changes two counts
+   by one, so none is lost), or connected by links proven before, or aligned.
+   So a crowd of copies costs a link a text, and unlike texts with a common
+   passage cost comparisons but no rows.
 3. Candidates are aligned word by word in a band as wide as the similarity
    allows (1 - edits / words of the longer >= 0.8): at first along the words
    that both texts have once, which proves most links; where that doesn't, by
@@ -52,8 +54,8 @@ SHORT, SHORT_ORDERS = 40, 32
 BUCKETS = 96  # of a text's word histogram
 SIMILAR = 0.8
 CLASS = 1.26  # lengths of similar texts differ by a quarter at most, and so lie in one class or in two neighbouring ones
-FEW = 32  # texts of a bucket that are all compared at once
-BLOCK = 2000  # texts of a larger bucket that meet in one step
+FEW = 8  # texts of a bucket that sends all its pairs
+BLOCK, BLOCK_WORDS = 1000, 2_000_000  # texts of a crowd's block, and their words
 WIDE = 200_000  # shingles times bands at once
 PER_TASK = 500  # texts aligned with one copy of a leader
 CACHE = 150_000
@@ -212,21 +214,29 @@ def anchored_edits(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -
     return edits
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float | None:
+class Text:
+    """A text's word hashes, and its distinct ones with their first places and counts."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.distinct, self.first, self.counts = np.unique(words, return_index=True, return_counts=True)
+
+
+def similar(x: Text, y: Text, least: float = SIMILAR) -> float | None:
     """1 - edits / words of the longer, if an alignment with that of `least` or more exists (not always the best one's)."""
+    a, b = x.words, y.words
     longer = max(len(a), len(b))
     if not longer:
         return 1.0
     limit = int(np.floor((1 - least) * longer + 1e-9))
     if abs(len(a) - len(b)) > limit:
         return None
-    ua, fa, ca = np.unique(a, return_index=True, return_counts=True)
-    ub, fb, cb = np.unique(b, return_index=True, return_counts=True)
-    _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    if longer - int(np.minimum(ca[ia], cb[ib]).sum()) > limit:  # words that the other lacks cost an edit each
+    _, ia, ib = np.intersect1d(x.distinct, y.distinct, assume_unique=True, return_indices=True)
+    ca, cb = x.counts[ia], y.counts[ib]
+    if longer - int(np.minimum(ca, cb).sum()) > limit:  # words that the other lacks cost an edit each
         return None
-    once = (ca[ia] == 1) & (cb[ib] == 1)
-    i, j = fa[ia[once]], fb[ib[once]]
+    once = (ca == 1) & (cb == 1)
+    i, j = x.first[ia[once]], y.first[ib[once]]
     inside = np.abs(i - j) <= limit
     order = np.argsort(i[inside])
     d = anchored_edits(a, b, i[inside][order], j[inside][order])
@@ -238,15 +248,14 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float | Non
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids = WordIds()
     for batch in batches:
-        digest, n, sketch, counts = [], [], [], []
+        digest, n, sketch = [], [], []
         for t in batch.column(1):
             text = t.as_py() or ""
             words = ids.of(text)
             digest.append(xxhash.xxh3_128_digest(text))
             n.append(len(words))
             sketch.append(band_values(words).astype("<u8").tobytes() if len(words) else None)
-            counts.append(histogram(words).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), pa.array(counts, pa.binary())], names=["id", "digest", "n", "sketch", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary())], names=["id", "digest", "n", "sketch"])
 
 
 def fits(n_a: np.ndarray, n_b: np.ndarray, small_a: np.ndarray, small_b: np.ndarray) -> np.ndarray:
@@ -265,7 +274,6 @@ def fits(n_a: np.ndarray, n_b: np.ndarray, small_a: np.ndarray, small_b: np.ndar
 BAND = "key bigint, id bigint, n int"
 MET = "lead bigint, id bigint, key bigint, n int"
 MET_SCHEMA = pa.schema([("lead", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("n", pa.int32())])
-PAIR = "lead bigint, id bigint"
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,14 +310,6 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(start, append=len(key))
 
 
-def _matrix(small: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(small.to_pylist()), np.uint8).reshape(len(small), -1)
-
-
-def _pair(lead: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(ids, pa.int64())], names=["lead", "id"])
-
-
 def _of_large(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch["id"], batch["key"], batch["n"]], schema=MET_SCHEMA)
 
@@ -356,42 +356,32 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _of_small(tail[0])
 
 
-def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block's texts and the first text, by length and id, that could be similar to each."""
+def _prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect all similar texts of two blocks, or of one with itself (side 0), as far as these pairs do."""
     for table in _buckets(batches):
         start, size = _runs(table["key"].to_numpy())
         for c, s in zip(start.tolist(), size.tolist(), strict=True):
             own = table.slice(c, s)
-            ids, n, small = own["id"].to_numpy(), own["n"].to_numpy(), _matrix(own["small"])
-            left = np.lexsort((ids, n))
-            while len(left) > 1:
-                lead, left = left[0], left[1:]
-                ok = fits(n[left], n[lead], small[left], small[lead])
-                if ok.any():
-                    yield _pair(np.full(ok.sum(), ids[lead]), ids[left[ok]])
-                    left = left[~ok]
-
-
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks (or of one with itself) that no verified links connect; the texts of the largest component aren't compared with each other."""
-    for table in _buckets(batches):
-        start, size = _runs(table["key"].to_numpy())
-        for c, s in zip(start.tolist(), size.tolist(), strict=True):
-            own = table.slice(c, s)
-            root = own["root"].to_numpy()
-            if (root == root[0]).all():
-                continue
-            ids, n, side, small = own["id"].to_numpy(), own["n"].to_numpy(), own["side"].to_numpy(), _matrix(own["small"])
-            order = np.lexsort((ids, n))
-            root, ids, n, side, small = root[order], ids[order], n[order], side[order], small[order]
-            roots, members = np.unique(root, return_counts=True)
-            most = roots[members.argmax()]
-            for i in np.flatnonzero(root != most).tolist():
-                j = np.arange(np.searchsorted(n, n[i] * SIMILAR - 1), np.searchsorted(n, n[i] / SIMILAR + 1, "right"))
-                j = j[(root[j] != root[i]) & ((j > i) | (root[j] == most)) & ((side[j] != side[i]) | (side[i] == 0))]
+            words = [np.frombuffer(x, "<u4") for x in own["words"].to_pylist()]
+            n = np.fromiter(map(len, words), np.int64, s)
+            order = np.lexsort((own["id"].to_numpy(), n))
+            n, ids, side, words = n[order], own["id"].to_numpy()[order], own["side"].to_numpy()[order], [words[i] for i in order]
+            small = np.stack([histogram(w.astype(np.uint64) << np.uint64(40)) for w in words])
+            texts: dict[int, Text] = {}
+            text = lambda i: texts.get(i) or texts.setdefault(i, Text(words[i]))  # noqa: E731, B023
+            part = np.arange(s)  # the number of each text's component
+            a, b, found = [], [], []
+            for i in range(1, s):
+                j = np.arange(np.searchsorted(n[:i], n[i] * SIMILAR - 1), i)
+                j = j[(side[j] != side[i]) | (side[i] == 0)]
                 j = j[fits(n[j], n[i], small[j], small[i])]
-                if len(j):
-                    yield _pair(np.full(len(j), ids[i]), ids[j])
+                for k in j[np.argsort(part[j], kind="stable")].tolist():
+                    if part[k] != part[i] and (alike := similar(text(k), text(i))) is not None:
+                        part[part == part[i]] = part[k]
+                        a.append(ids[k])
+                        b.append(ids[i])
+                        found.append(alike)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
 
 def _words(shared, bits: int):
@@ -416,7 +406,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, s = [], [], []
         for at, salt, doc, first, packed in zip(*batch.columns, strict=True):
-            at, salt, own = at.as_py(), salt.as_py(), np.frombuffer(packed.as_py(), "<u4")
+            at, salt, own = at.as_py(), salt.as_py(), Text(np.frombuffer(packed.as_py(), "<u4"))
             if first.as_py():
                 lead, words = (at, salt), own
             elif (at, salt) == lead and (found := similar(words, own)) is not None:
@@ -430,46 +420,51 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.where("lead <> id").select(F.least("lead", "id").alias("lead"), F.greatest("lead", "id").alias("id")).distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, similarity of those of the pairs (lead, id) that are similar."""
-    spark = docs.sparkSession
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc and words of the texts whose id is in `ids`, and of a few others."""
+    wanted, bits = bloom_of(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(wanted.tobytes(), 1))
+    return docs.select("id", "text").mapInArrow(_words(shared, bits), "doc bigint, words binary")
+
+
+LINK = "a bigint, b bigint, similarity double"
+
+
+def _aligned(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, similarity of those of the pairs (lead, id) that are similar; PER_TASK of them meet with one copy of the leader's words."""
     shares = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).alias("shares")).select(dealt_anew("lead"), "shares")
     members = pairs.join(shares, "lead").select("lead", F.pmod(F.xxhash64("id"), F.col("shares")).alias("salt"), F.col("id").alias("doc"))
     heads = members.select("lead", "salt").distinct().select("lead", "salt", F.col("lead").alias("doc"))
     routes = heads.withColumn("first", F.lit(True)).union(members.withColumn("first", F.lit(False)))
-    involved = pairs.select(F.explode(F.array("lead", "id")).alias("id")).distinct()
-    wanted, bits = bloom_of(involved)
-    shared = spark.sparkContext.broadcast(zlib.compress(wanted.tobytes(), 1))
-    texts = docs.select("id", "text").mapInArrow(_words(shared, bits), "doc bigint, words binary")
+    texts = _texts(docs, pairs.select(F.explode(F.array("lead", "id")).alias("id")).distinct())
     sent = routes.join(texts, "doc").select("lead", "salt", "doc", "first", "words")
-    near = sent.repartition(partitions_for(spark), "lead", "salt").sortWithinPartitions("lead", "salt", F.desc("first")).mapInArrow(_align, "a bigint, b bigint, similarity double")
-    return written(near, "near")
+    return sent.repartition(partitions_for(docs.sparkSession), "lead", "salt").sortWithinPartitions("lead", "salt", F.desc("first")).mapInArrow(_align, LINK)
 
 
-def _blocked(large: DataFrame, counts: DataFrame) -> DataFrame:
-    """Rows of large buckets with their class of length, their block in it, and how many blocks their class and the two beside it have."""
-    classed = large.withColumn("class", F.floor(F.log(CLASS, F.col("n"))).cast("int"))
-    sizes = classed.groupBy("key", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    beside = lambda step, name: sizes.select("key", (F.col("class") + step).alias("class"), F.col("blocks").alias(name))
-    around = sizes.join(beside(1, "below"), ["key", "class"], "left").join(beside(-1, "above"), ["key", "class"], "left").na.fill(0, ["below", "above"])
-    sized = classed.join(around.select(dealt_anew("key"), "class", "blocks", "below", "above"), ["key", "class"])
-    return sized.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")).join(counts, ["id", "n"])
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Rows (crowd, id, n) with their class of length, their block in it, and how many blocks their class and the two beside it have."""
+    classed = rows.withColumn("class", F.floor(F.log(CLASS, F.col("n"))).cast("int"))
+    many = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_WORDS)
+    sizes = classed.groupBy("crowd", "class").agg(F.ceil(many).cast("int").alias("blocks"))
+    beside = lambda step, name: sizes.select("crowd", (F.col("class") + step).alias("class"), F.col("blocks").alias(name))
+    around = sizes.join(beside(1, "below"), ["crowd", "class"], "left").join(beside(-1, "above"), ["crowd", "class"], "left").na.fill(0, ["below", "above"])
+    sized = classed.join(around.select(dealt_anew("crowd"), "class", "blocks", "below", "above"), ["crowd", "class"])
+    return sized.withColumn("block", F.pmod(F.xxhash64("id", "crowd"), F.col("blocks")).cast("int"))
 
 
 def _met_blocks(rows: DataFrame) -> DataFrame:
     """A row for each pair of blocks that a text's block takes part in, under the pair's key; side 0 is a block with itself."""
-    pair = lambda k, a, l, b, side: F.struct(F.xxhash64("key", k, a, l, b).alias("met"), F.lit(side).alias("side"))
-    own, block, none = F.col("class"), F.col("block"), F.array().cast("array<struct<met:bigint,side:int>>")
+    pair = lambda k, a, l, b, side: F.struct(F.xxhash64("crowd", k, a, l, b).alias("key"), F.lit(side).alias("side"))
+    own, block = F.col("class"), F.col("block")
     steps = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-    within = F.concat(
+    each = F.concat(
         F.transform(steps(F.lit(0), block - 1), lambda v: pair(own, v, own, block, 2)),
         F.array(pair(own, block, own, block, 0)),
         F.transform(steps(block + 1, F.col("blocks") - 1), lambda v: pair(own, block, own, v, 1)),
+        F.transform(steps(F.lit(0), F.col("above") - 1), lambda v: pair(own, block, own + 1, v, 1)),
+        F.transform(steps(F.lit(0), F.col("below") - 1), lambda v: pair(own - 1, v, own, block, 2)),
     )
-    up = F.transform(steps(F.lit(0), F.col("above") - 1), lambda v: pair(own, block, own + 1, v, 1))
-    down = F.transform(steps(F.lit(0), F.col("below") - 1), lambda v: pair(own - 1, v, own, block, 2))
-    each = F.concat(none, within, up, down)
-    return rows.select(F.explode(each).alias("x"), "id", "n", "root", "small").select(F.col("x.met").alias("key"), F.col("x.side").alias("side"), "id", "n", "root", "small")
+    return rows.select(F.explode(each).alias("x"), "id").select("x.key", "x.side", "id")
 
 
 def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -481,23 +476,15 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     dealt = lambda df: df.repartition(n, "key").sortWithinPartitions("key")
     distinct = sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("x")).select("x.*")
     met = written(dealt(distinct.mapInArrow(_bands, BAND)).mapInArrow(_meet, MET), "met")
+    pairs = written(_pairs(met.where("lead is not null").select("lead", "id")), "pairs")
+    links = written(_aligned(docs, pairs), "near")
     large = met.where("key is not null").select("key", "id", "n")
-    crowded = not large.isEmpty()
-    candidates = met.where("lead is not null").select("lead", "id")
-    if crowded:
-        counts = sketches.select("id", "n", F.col("counts").alias("small")).join(large.select("id").distinct(), "id", "left_semi").distinct()
-        blocks = written(_blocked(large, counts), "blocks")
-        led = dealt(blocks.select(F.xxhash64("key", "class", "block").alias("key"), "id", "n", "small")).mapInArrow(_lead, PAIR)
-        candidates = candidates.union(led)
-    pairs = written(_pairs(candidates), "pairs")
-    links = _verified(docs, pairs)
-    if crowded:
-        rooted = blocks.join(components(links), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-        mixed_ = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select(dealt_anew("key"))
-        crossed = dealt(_met_blocks(rooted.join(mixed_, "key", "left_semi"))).mapInArrow(_cross, PAIR)
-        more = written(_pairs(crossed).join(pairs, ["lead", "id"], "left_anti"), "pairs")
-        links = links.union(_verified(docs, more))
-        delete_written(more, blocks)
+    if not large.isEmpty():
+        crowds = large.groupBy("key").agg(F.min("id").alias("crowd")).select(dealt_anew("key"), "crowd")
+        rows = written(large.join(crowds, "key").select("crowd", "id", "n").distinct(), "crowds")
+        sent = _met_blocks(_blocked(rows)).join(_texts(docs, rows.select("id").distinct()), F.col("id") == F.col("doc")).select("key", "side", "id", "words")
+        links = links.union(written(dealt(sent).mapInArrow(_prove, LINK), "near"))
+        delete_written(rows)
     delete_written(met, pairs)
     return links
 
@@ -511,7 +498,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of all its texts. Rows with a null id are in no class: class_id is null.
     """
     every = id_text(df, id_col, text_col)
-    sketches = written(every.where("id is not null").mapInArrow(_sketch, "id bigint, digest binary, n int, sketch binary, counts binary"), "sketches")
+    sketches = written(every.where("id is not null").mapInArrow(_sketch, "id bigint, digest binary, n int, sketch binary"), "sketches")
     links = near_links(every.where("id is not null"), sketches).select("a", "b")
     own = written(sketches.groupBy("digest").agg(F.min("id").alias("rep")), "copies")
     copies = sketches.select("id", "digest").join(own, "digest").select("id", "rep")

@@ -9,7 +9,7 @@ import pytest
 
 from seqloom.llm import order_minhash
 from seqloom.llm.components import components
-from seqloom.llm.order_minhash import WordIds, band_values, banded_distance, histogram, near_duplicates, near_links, order_sketch, similar
+from seqloom.llm.order_minhash import Text, WordIds, band_values, banded_distance, near_duplicates, near_links, order_sketch, similar
 
 
 def levenshtein(a, b):
@@ -55,7 +55,7 @@ def test_similar_finds_all_pairs_from_the_threshold_on():
             k = r.randrange(len(b) + 1)
             b = b[k:] + b[:k]
         true = 1 - levenshtein(a, b) / max(len(a), len(b))
-        found = similar(np.array(a, np.uint32), np.array(b, np.uint32))
+        found = similar(Text(np.array(a, np.uint32)), Text(np.array(b, np.uint32)))
         assert (found is not None) == (true >= 0.8 - 1e-9) and (found is None or found <= true + 1e-9)
 
 
@@ -160,7 +160,8 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch, block):
         texts += [own + passage, near + passage]
     monkeypatch.setattr(order_minhash, "BLOCK", block)
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string").repartition(4)
-    want = {i: i for i in range(300)} | union_find([(i, j) for i in range(300) for j in range(i) if similar(*(WordIds().of(" ".join(texts[k])) for k in (i, j))) is not None])
+    whole = [Text(WordIds().of(" ".join(x))) for x in texts]
+    want = {i: i for i in range(300)} | union_find([(i, j) for i in range(300) for j in range(i) if similar(whole[i], whole[j]) is not None])
     assert len(set(want.values())) < 200
     assert classes_of(docs) == want
 
@@ -176,9 +177,9 @@ def test_texts_that_meet_only_beside_a_leader_are_compared(spark, crowd):
     for i, words in enumerate(texts):
         w = ids.of(" ".join(words))
         sketch = np.concatenate([shared, r.integers(0, 1 << 63, 28, np.uint64)]).astype("<u8")
-        rows.append((i, i.to_bytes(16), len(w), sketch.tobytes(), histogram(w).tobytes()))
+        rows.append((i, i.to_bytes(16), len(w), sketch.tobytes()))
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "id long, text string")
-    links = near_links(docs, spark.createDataFrame(rows, "id long, digest binary, n int, sketch binary, counts binary").coalesce(1))
+    links = near_links(docs, spark.createDataFrame(rows, "id long, digest binary, n int, sketch binary").coalesce(1))
     root = union_find([(x["a"], x["b"]) for x in links.collect()])
     assert root.get(2) == 1 and all(root[i] == 0 for i in range(3, len(texts))) and root.get(0, 0) == 0
 

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from seqloom.llm import queries
 from seqloom.llm.langid import SWITCH, WORDS, learn_languages
-from seqloom.llm.order_minhash import WordIds, similar
+from seqloom.llm.order_minhash import Text, WordIds, similar
 from seqloom.llm.pipeline import LEAST_SCORE
 
 from .conftest import EDGES
@@ -87,8 +87,8 @@ def test_near_stage(stages):
     _, before, after = stages[2]
     ids = WordIds()
     flat = sorted({(r["doc_id"], r["text"] or "") for r in before if r["doc_id"] is not None})
-    words = [ids.of(t) for _, t in flat]
-    links = [(k, j) for k, (_, a) in enumerate(flat) for j in range(k) if a == flat[j][1] or len(words[k]) and len(words[j]) and similar(words[k], words[j]) is not None]
+    words = [Text(ids.of(t)) for _, t in flat]
+    links = [(k, j) for k, (_, a) in enumerate(flat) for j in range(k) if a == flat[j][1] or len(words[k].words) and len(words[j].words) and similar(words[k], words[j]) is not None]
     root = union_find(links)
     want = [x for k, x in enumerate(flat) if root.get(k, k) == k]
     assert sorted((r["doc_id"], r["text"] or "") for r in after if r["doc_id"] is not None) == want
