@@ -22,8 +22,8 @@ either side have both.
    passage makes them, are one crowd. A crowd is cut into classes of length, in
    which and next to which all similar texts lie, and classes into blocks, whose
    texts meet with their words, each pair of blocks in one place. There each
-   pair is ruled out by lengths or word histograms (an edit changes two counts
-   by one, so none is lost), or connected by links proven before, or aligned.
+   pair is ruled out by the number of words in common (a word that the longer
+   has alone costs an edit), or connected by links proven before, or aligned.
    So a crowd of copies costs a link a text, and unlike texts with a common
    passage cost comparisons but no rows.
 3. Candidates are aligned word by word in a band as wide as the similarity
@@ -51,7 +51,6 @@ from .components import components
 
 SHINGLE, LEAST, ORDERS = 5, 4, 16
 SHORT, SHORT_ORDERS = 40, 32
-BUCKETS = 96  # of a text's word histogram
 SIMILAR = 0.8
 CLASS = 1.26  # lengths of similar texts differ by a quarter at most, and so lie in one class or in two neighbouring ones
 FEW = 8  # texts of a bucket that sends all its pairs
@@ -126,11 +125,6 @@ def band_values(words: np.ndarray) -> np.ndarray:
     return np.concatenate([*short, *([order_sketch(words)] if len(words) > SHORT else [])])
 
 
-def histogram(words: np.ndarray) -> np.ndarray:
-    """Numbers of words by hash, 255 at most."""
-    return np.minimum(np.bincount((words >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8)
-
-
 def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     """The edit distance of two sequences if it is `limit` or less, by bit vectors over the band of diagonals.
 
@@ -258,19 +252,6 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary())], names=["id", "digest", "n", "sketch"])
 
 
-def fits(n_a: np.ndarray, n_b: np.ndarray, small_a: np.ndarray, small_b: np.ndarray) -> np.ndarray:
-    """Which pairs lengths and word histograms allow; `small_b` may be one text's."""
-    longer = np.maximum(n_a, n_b)
-    limit = np.floor((1 - SIMILAR) * longer + 1e-9)
-    ok = longer - np.minimum(n_a, n_b) <= limit
-    at = np.flatnonzero(ok)
-    for k in range(0, len(at), 50_000):
-        i = at[k : k + 50_000]
-        a, b = small_a[i], small_b if small_b.ndim == 1 else small_b[i]
-        ok[i] = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=1) <= 2 * limit[i]
-    return ok
-
-
 BAND = "key bigint, id bigint, n int"
 MET = "lead bigint, id bigint, key bigint, n int"
 MET_SCHEMA = pa.schema([("lead", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("n", pa.int32())])
@@ -356,6 +337,14 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _of_small(tail[0])
 
 
+def _counted(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of texts by small numbers, how often each stands in its text, and where each text's begin."""
+    _, code = np.unique(np.concatenate(words), return_inverse=True)
+    size = int(code.max()) + 1
+    each, counts = np.unique(np.repeat(np.arange(len(words)), [len(w) for w in words]) * size + code, return_counts=True)
+    return each % size, counts, np.searchsorted(each // size, np.arange(len(words) + 1))
+
+
 def _prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that connect all similar texts of two blocks, or of one with itself (side 0), as far as these pairs do."""
     for table in _buckets(batches):
@@ -366,15 +355,22 @@ def _prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.fromiter(map(len, words), np.int64, s)
             order = np.lexsort((own["id"].to_numpy(), n))
             n, ids, side, words = n[order], own["id"].to_numpy()[order], own["side"].to_numpy()[order], [words[i] for i in order]
-            small = np.stack([histogram(w.astype(np.uint64) << np.uint64(40)) for w in words])
+            codes, counts, at = _counted(words)
+            count_of = np.zeros(codes.max() + 1, np.int64)
             texts: dict[int, Text] = {}
             text = lambda i: texts.get(i) or texts.setdefault(i, Text(words[i]))  # noqa: E731, B023
             part = np.arange(s)  # the number of each text's component
             a, b, found = [], [], []
             for i in range(1, s):
-                j = np.arange(np.searchsorted(n[:i], n[i] * SIMILAR - 1), i)
-                j = j[(side[j] != side[i]) | (side[i] == 0)]
-                j = j[fits(n[j], n[i], small[j], small[i])]
+                low = int(np.searchsorted(n[:i], n[i] * SIMILAR - 1))
+                if low == i:
+                    continue
+                own_codes, upto = codes[at[i] : at[i + 1]], at[low]
+                count_of[own_codes] = counts[at[i] : at[i + 1]]
+                common = np.add.reduceat(np.minimum(count_of[codes[upto : at[i]]], counts[upto : at[i]]), at[low:i] - upto)
+                count_of[own_codes] = 0
+                ok = (n[i] - common <= int((1 - SIMILAR) * n[i] + 1e-9)) & ((side[low:i] != side[i]) | (side[i] == 0))
+                j = low + np.flatnonzero(ok)
                 for k in j[np.argsort(part[j], kind="stable")].tolist():
                     if part[k] != part[i] and (alike := similar(text(k), text(i))) is not None:
                         part[part == part[i]] = part[k]
@@ -502,9 +498,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = near_links(every.where("id is not null"), sketches).select("a", "b")
     own = written(sketches.groupBy("digest").agg(F.min("id").alias("rep")), "copies")
     copies = sketches.select("id", "digest").join(own, "digest").select("id", "rep")
-    doubled = copies.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most")
-    again = copies.join(doubled.select("id"), "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))  # ids of several texts
-    roots = components(links.union(again))
+    doubled = sketches.groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("id")
+    if not doubled.isEmpty():  # ids of several texts
+        links = links.union(copies.join(doubled, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    roots = components(links)
     classes = copies.groupBy("id").agg(F.min("rep").alias("rep")).join(roots, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("root", "rep").alias("class_id"))
     ids = df.select(column(df, id_col).cast("long").alias(id_col))
     known = ids.join(classes, ids[id_col].eqNullSafe(classes["id"]), "left")
