@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
+import threading
 import time
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +27,15 @@ def parser() -> argparse.ArgumentParser:
     r = sub.add_parser("process")
     r.add_argument("-r", "--reads", nargs="+", required=True, metavar="FILE", help="forward and, of pairs, reverse reads")
     r.add_argument("-i", "--index", nargs="+", default=[], metavar="FILE", help="forward and reverse index reads")
-    r.add_argument("-o", "--out", required=True)
+    r.add_argument("-o", "--out", help="the folder of the forward reads by default")
     r.add_argument("-s", "--samples", help="sample sheet: name, barcode, enzyme [reverse enzyme [reverse barcode]]")
     r.add_argument("-E", "--enzyme", nargs="+", default=[], help="name and sequence of further enzyme remnants, in turn")
     r.add_argument("-u", "--umi", type=int, default=12)
     r.add_argument("-dF", "--dedup-first", action="store_true")
     r.add_argument("-dB", "--dedup-best", action="store_true")
-    r.add_argument("--save-dup", action="store_true")
+    r.add_argument("--save-dup", action="store_true", help="writes the reads that deduplication drops to dup, pairs side by side")
+    r.add_argument("--save-temp", action="store_true", help="keeps the table of all records, before deduplication drops any, in temp")
+    r.add_argument("--print-processed", type=float, metavar="SECONDS", help="prints finished and all tasks of the running stages that often")
     r.add_argument("-N", "--most-n", nargs="?", type=float, const=-1.0, default=2.0, help="share of Ns; alone: none at all")
     r.add_argument("-Q", "--quality", type=float, default=0.0)
     r.add_argument("--alt-quality-filter", action="store_true", help="-Q is then the most expected errors")
@@ -71,13 +76,22 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("-o", "--out", required=True)
     s.add_argument("-s", "--samples")
     s.add_argument("-E", "--enzyme", nargs="+", default=[])
-    s.add_argument("-A", dest="adapter")
+    s.add_argument("-A", dest="adapters", nargs="+", default=[], help="3' adapters of forward reads")
+    s.add_argument("-Z", dest="r_adapters", nargs="+", default=[], help="3' adapters of reverse reads")
+    s.add_argument("-eB", "--barcode-edits", type=float, default=1)
+    s.add_argument("-eA", "--adapter-edits", type=float, default=1)
+    s.add_argument("-eM", "--merge-edits", type=float, default=1)
+    s.add_argument("-lB", "--barcode-indels", action="store_true")
+    s.add_argument("-lA", "--adapter-indels", action="store_true")
+    s.add_argument("-vA", "--adapter-overlap", type=int, default=3)
+    s.add_argument("-vM", "--merge-overlap", type=int, default=20)
+    s.add_argument("-R", "--check-reverse", action="store_true")
+    s.add_argument("--reversed", action="store_true", help="pairs")
     s.add_argument("--iter", type=int, default=1000)
     s.add_argument("--len", type=int, default=100)
     s.add_argument("--umi", nargs="?", type=int, const=12)
-    s.add_argument("--merging", action="store_true")
-    s.add_argument("-vM", "--merge-overlap", type=int, default=20)
-    s.add_argument("-eM", "--merge-edits", type=int, default=1)
+    s.add_argument("--merging", action="store_true", help="pairs that overlap, or nearly do")
+    s.add_argument("--clear-dir", action="store_true")
     s.add_argument("--seed", type=int, required=True)
     return p
 
@@ -107,64 +121,133 @@ def config_of(a: argparse.Namespace, samples: tuple[Sample, ...]) -> Config:
     )
 
 
+def folder(spark: SparkSession, path: str):
+    """The path and its file system, whatever store it is in."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def prepare(spark: SparkSession, out: str, names: list[str], clear: bool) -> None:
+    """An empty place for each output, before any work: what is there goes with --clear-dir, and is an error without it."""
+    if clear:
+        target, fs = folder(spark, out)
+        fs.delete(target, True)
+    for name in names:
+        target, fs = folder(spark, f"{out}/{name}")
+        if fs.exists(target):
+            raise SystemExit(f"{out}/{name} exists; --clear-dir deletes it")
+
+
+def count_files(spark: SparkSession, path: str) -> int:
+    """Data files below a folder."""
+    target, fs = folder(spark, path)
+    if not fs.exists(target):
+        return 0
+    each, n = fs.listFiles(target, True), 0
+    while each.hasNext():
+        n += each.next().getPath().getName().startswith("part-")
+    return n
+
+
 def write_reads(done: DataFrame, a: argparse.Namespace, config: Config) -> None:
-    mode = "overwrite" if a.clear_dir else "errorifexists"
     mates = [m for m in ("f", "r") if f"{m}_seq" in done.columns and not (m == "r" and config.merge)]
     kept = done if config.dedup is None else done.where("duplicate is null and not kept or not duplicate")
     for m in [*mates, *[i for i in ("i1", "i2") if f"{i}_header" in done.columns]]:
-        fastq.write_fastq(kept, f"{a.out}/{m}", ["sample"], f"{m}_header", f"{m}_seq", f"{m}_qual", gz=a.gzip, mode=mode)
+        fastq.write_fastq(kept, f"{a.out}/{m}", ["sample"], f"{m}_header", f"{m}_seq", f"{m}_qual", gz=a.gzip)
     if config.dedup is not None and a.save_dup:
         again = done.where("duplicate")
         if "r" in mates:
-            fastq.write_pairs(again, f"{a.out}/dup", ["sample"], gz=True, mode=mode)
+            fastq.write_pairs(again, f"{a.out}/dup", ["sample"], gz=True)
         else:
-            fastq.write_fastq(again, f"{a.out}/dup", ["sample"], "f_header", "f_seq", "f_qual", gz=True, mode=mode)
+            fastq.write_fastq(again, f"{a.out}/dup", ["sample"], "f_header", "f_seq", "f_qual", gz=True)
 
 
-def write_log(spark: SparkSession, a: argparse.Namespace, shared: DataFrame, began: float) -> None:
+def write_log(spark: SparkSession, a: argparse.Namespace, totals: dict[str, int], began: float) -> None:
     """Parameters, run time and totals."""
-    total = shared.where("sample = 'Total'").first()
     lines = [f"{k}: {v}" for k, v in sorted(vars(a).items())]
-    lines += [f"Run time: {duration_text(1000 * (time.time() - began))}", f"Reads: {total['reads'] if total else 0}", f"Lines: {4 * total['reads'] if total else 0}"]
-    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite" if a.clear_dir else "errorifexists").text(f"{a.out}/log")
+    lines += [f"Run time: {duration_text(1000 * (time.time() - began))}", *[f"{k}: {v}" for k, v in totals.items()]]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{a.out}/log")
+
+
+@contextlib.contextmanager
+def progress(spark: SparkSession, seconds: float | None) -> Iterator[None]:
+    """Prints how many tasks of the running stages are done, every so many seconds."""
+    stop = threading.Event()
+
+    def watch() -> None:
+        tracker = spark.sparkContext.statusTracker()
+        while not stop.wait(seconds):
+            stages = [x for x in map(tracker.getStageInfo, tracker.getActiveStageIds()) if x]
+            print(f"{sum(x.numCompletedTasks for x in stages)} of {sum(x.numTasks for x in stages)} tasks", flush=True)
+
+    thread = threading.Thread(target=watch, daemon=True)
+    if seconds:
+        thread.start()
+    try:
+        yield
+    finally:
+        stop.set()
 
 
 def run_process(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Reads become a table of records in `temp`, once; files, duplicates, report and log come from it."""
     began = time.time()
     if (a.dedup_first or a.dedup_best) and not a.index:
         raise SystemExit("deduplication needs index reads (-i)")
-    files = [fastq.read_fastq(spark, f, a.strict) for f in [*a.reads[:2], *a.index[:2]]]
+    a.out = a.out or (a.reads[0].rsplit("/", 1)[0] if "/" in a.reads[0] else ".")
+    prepare(spark, a.out, ["f", "r", "i1", "i2", "dup", "stats", "log", "temp"], a.clear_dir)
+    files = [fastq.read_reads(spark, f, a.strict) for f in [*a.reads[:2], *a.index[:2]]]
     pair = len(a.reads) > 1
     df = fastq.join_files(files[0], files[1] if pair else None, *files[1 + pair :])
     samples = sample_rows(spark, a.samples, a.enzyme) if a.samples else ()
     config = config_of(a, samples)
-    done = process(df, config)
+    process(df, config).write.parquet(f"{a.out}/temp")
+    done = spark.read.parquet(f"{a.out}/temp")
     write_reads(done, a, config)
     sheet = {s.name: (s.barcode, s.r_barcode) for s in samples}
     shared = statistics(done)
     lines = stats.report(shared, sheet).coalesce(1).sortWithinPartitions("n")  # one line a sample
-    lines.select("line").write.mode("overwrite" if a.clear_dir else "errorifexists").text(f"{a.out}/stats")
-    write_log(spark, a, shared, began)
+    lines.select("line").write.text(f"{a.out}/stats")
+    total = shared.where("sample = 'Total'").first()
+    n = {k: total[k] if total else 0 for k in ("reads", "duplicates")}
+    kept = ["f", "r", "i1", "i2"]
+    write_log(spark, a, {"Reads": n["reads"], "Lines": 4 * n["reads"], "Duplicates": n["duplicates"], "Files of reads": sum(count_files(spark, f"{a.out}/{m}") for m in kept), "Files of duplicates": count_files(spark, f"{a.out}/dup")}, began)
+    if not a.save_temp:
+        target, fs = folder(spark, f"{a.out}/temp")
+        fs.delete(target, True)
 
 
 def run_simulate(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Reads in f, r, i1 and i2; what a run should make of them in results, by sample, and the counts in the log."""
+    began = time.time()
+    prepare(spark, a.out, ["f", "r", "i1", "i2", "results", "expected", "log"], a.clear_dir)
     if a.merging:
-        made = simulate_pairs(spark, a.iter, a.seed, a.len, a.merge_overlap, a.merge_edits)
+        made = simulate_pairs(spark, a.iter, a.seed, a.len, a.merge_overlap, int(a.merge_edits)).withColumn("header", F.concat(F.lit("@sim"), "ord"))
+        results = made.where("kind = 0").select("ord", "header", F.col("expected").alias("f_seq"), F.lit("merged").alias("sample"))
+        counts = {"Reads": 2 * a.iter, "Merged reads": 2 * results.count()}
     else:
-        demux = Demux(sample_rows(spark, a.samples, a.enzyme))
-        made = simulate_reads(spark, a.iter, demux, a.seed, a.len, Adapter.three(a.adapter) if a.adapter else None, umi=a.umi)
+        d = Demux(sample_rows(spark, a.samples, a.enzyme), Search(Budget.of(a.barcode_edits)))
+        made = simulate_reads(
+            spark, a.iter, d, a.seed, a.len, [*map(Adapter.three, a.adapters)], overlap=a.adapter_overlap, umi=a.umi, r_adapter=[*map(Adapter.three, a.r_adapters)], reverse=a.reversed, check_reverse=a.check_reverse,
+            barcode_edits=int(a.barcode_edits), barcode_indels=a.barcode_indels, adapter_edits=int(a.adapter_edits), adapter_indels=a.adapter_indels,
+        )
+        results = made.withColumnRenamed("expected", "sample")
+        mates = 2 if a.reversed else 1
+        flags = sum((F.col(c).cast("int") for c in ("has_adapter", "r_has_adapter") if c in made.columns), F.lit(0))
+        by = results.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.sum(flags).alias("adapters")).collect()  # a row for each sample
+        counts = {f"Reads of {r['sample']}": mates * r["n"] for r in by} | {f"Adapters in {r['sample']}": r["adapters"] for r in by} | {"Reads": mates * a.iter}
     made.write.parquet(f"{a.out}/expected")
-    header = F.col("header") if "header" in made.columns else F.concat(F.lit("@sim"), "ord")
-    for m in ("f", "r", "i1"):
+    qual = lambda df, m: F.col(f"{m}_qual") if f"{m}_qual" in df.columns else F.repeat(F.lit("A"), F.length(f"{m}_seq"))
+    for m in ("f", "r", "i1", "i2"):
         if f"{m}_seq" in made.columns:
-            qual = f"{m}_qual" if f"{m}_qual" in made.columns else None
-            rows = made.select("ord", header.alias("header"), F.col(f"{m}_seq").alias("seq"), (F.col(qual) if qual else F.repeat(F.lit("A"), F.length(f"{m}_seq"))).alias("qual"), F.lit(m).alias("file"))
-            fastq.write_fastq(rows, f"{a.out}/{m}", ["file"])
+            fastq.write_fastq(made.select("ord", "header", F.col(f"{m}_seq").alias("seq"), qual(made, m).alias("qual"), F.lit(m).alias("file")), f"{a.out}/{m}", ["file"])
+        if m in ("f", "r") and f"{m}_seq" in results.columns:
+            fastq.write_fastq(results.select("sample", "ord", "header", F.col(f"{m}_seq").alias("seq"), F.repeat(F.lit("A"), F.length(f"{m}_seq")).alias("qual")), f"{a.out}/results/{m}", ["sample"])
+    write_log(spark, a, counts, began)
 
 
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("seqloom").getOrCreate()
-    run_process(spark, a) if a.command == "process" else run_simulate(spark, a)
-
-
+    with progress(spark, getattr(a, "print_processed", None)):
+        run_process(spark, a) if a.command == "process" else run_simulate(spark, a)

@@ -10,9 +10,13 @@ from .quality import with_quality
 
 
 def mark_duplicates(df: DataFrame, umi: Column, by: list[str], order: list[Column]) -> DataFrame:
-    """`df` with umi and duplicate (null without a UMI): all but the first of each (by, umi) in the given order."""
+    """`df` with umi and duplicate (null without a UMI): all but the first of each (by, umi) in the given order.
+
+    Rows without a UMI are dealt by their order instead: they are no group.
+    """
     keyed = df.withColumn("umi", umi)
-    w = Window.partitionBy(*by, "umi").orderBy(*order)
+    alone = F.when(F.col("umi").isNull(), F.xxhash64(*order))
+    w = Window.partitionBy(*by, "umi", alone).orderBy(*order)
     return keyed.withColumn("duplicate", F.when(F.col("umi").isNotNull(), F.row_number().over(w) > 1))
 
 

@@ -10,9 +10,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 FULL = 1 << 30  # a minimum overlap that no pattern reaches: the match must lie inside the window
-FAR = 1 << 14  # more edits than any budget
+FAR = np.iinfo(np.int32).max  # no match; more edits than a read has bases
 ANY = 1  # a byte that every base matches
 N = ord("N")
 ERROR = 10.0 ** (-np.arange(256) / 10)  # of a Phred score
@@ -21,7 +22,7 @@ ERROR = 10.0 ** (-np.arange(256) / 10)  # of a Phred score
 def to_matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Left-aligned bytes (0 behind the end) and lengths; a null is empty."""
     if col.null_count:
-        col = pa.array(["" if x is None else x for x in col.to_pylist()], pa.string())
+        col = pc.fill_null(col, "")
     col = col.cast(pa.large_binary())
     bounds = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
     lens = np.diff(bounds).astype(np.int64)
@@ -177,9 +178,10 @@ def longest(edits: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n, width = edits.shape
     if not width:
         return np.full(n, -1), np.full(n, FAR), np.zeros(n, np.int64)
-    rank = np.where(edits < FAR, (length[None, :].astype(np.int64) * FAR - edits) * (width + 1) - np.arange(width), -1)
-    end = rank.argmax(axis=1)
-    none = rank[np.arange(n), end] < 0
+    size = np.where(edits < FAR, length[None, :], -1)
+    most = size.max(axis=1)
+    end = np.where(size == most[:, None], edits, FAR).argmin(axis=1)
+    none = most < 0
     return np.where(none, -1, end), np.where(none, FAR, edits[np.arange(n), end]), np.where(none, 0, length[end])
 
 

@@ -88,6 +88,17 @@ def read_fastq_text(spark: SparkSession, path: str) -> DataFrame:
     return met.where("n = 4").drop("n")
 
 
+def read_reads(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """ord, header, seq and qual of one file: by the FASTQ source for a plain path, by Spark's own reader for an address with a scheme."""
+    if "://" not in path:
+        return read_fastq(spark, path, strict)
+    found = read_fastq_text(spark, path).select("ord", "header", "seq", "qual")
+    if not strict:
+        return found
+    good = F.col("header").startswith("@") & F.col("seq").rlike("^[ACGTNacgtn]*$") & (F.length("seq") == F.length("qual"))
+    return found.withColumn("header", F.when(good, F.col("header")).otherwise(F.raise_error(F.format_string("record %d isn't a valid FASTQ record", "ord"))))
+
+
 def records_of(whole: DataFrame) -> DataFrame:
     """Records of whole files in column value, of a batch or of a stream."""
     whole = whole.select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n").alias("lines"))
@@ -112,9 +123,12 @@ def fastq_record(header: Column, seq: Column, qual: Column) -> Column:
 
 
 def write_fastq(df: DataFrame, path: str, by: list[str], header: str = "header", seq: str = "seq", qual: str = "qual", ord_col: str = "ord", gz: bool = False, mode: str = "errorifexists") -> None:
-    """A folder for each value of `by`, with records in order in each file; folders exist only for values that occur."""
+    """A folder for each value of `by`, with records in order in its files, one after the other by name; folders exist only for values that occur.
+
+    Rows are dealt by ranges of (by, ord), so a large sample has many files and no single task.
+    """
     rows = df.select(*by, ord_col, fastq_record(F.col(header), F.col(seq), F.col(qual)).alias("value"))
-    ordered = rows.repartition(*by).sortWithinPartitions(*by, ord_col).drop(ord_col)
+    ordered = rows.repartitionByRange(*by, ord_col).sortWithinPartitions(*by, ord_col).drop(ord_col)
     ordered.write.mode(mode).partitionBy(*by).option("compression", "gzip" if gz else "none").text(path)
 
 
@@ -125,6 +139,15 @@ def write_pairs(df: DataFrame, path: str, by: list[str], gz: bool = False, mode:
     write_fastq(each.select(*by, (F.col("ord") * 2 + F.col("x.mate")).alias("ord"), "x.header", "x.seq", "x.qual"), path, by, gz=gz, mode=mode)
 
 
+def read_written(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """`by`, ord (in its folder, from 0), header, seq and qual of what `write_fastq` wrote."""
+    found = read_fastq_text(spark, path + f"/{by}=*")
+    folder = F.url_decode(F.regexp_extract("file", rf"/{by}=([^/]*)/", 1))
+    sizes = found.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select("file", folder.alias(by), "n")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return found.join(sizes.select("file", by, before.alias("before")), "file").select(by, (F.col("ord") + F.col("before")).alias("ord"), "header", "seq", "qual")
+
+
 def read_sample_sheet(spark: SparkSession, path: str) -> DataFrame:
     """name, barcode, enzyme, r_enzyme and r_barcode of a sheet whose columns are parted by blanks; barcodes and enzymes in upper case."""
     part = F.split(F.trim("value"), r"\s+")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gzip
 
+import pytest
+
 from seqloom import cli
 from seqloom.operators.kernels import Adapter, Budget, Search
 from seqloom.plans.config import Config
@@ -39,6 +41,20 @@ def test_samples_pairs_and_umis_from_the_command_line(spark, tmp_path):
     assert (tmp_path / "out/dup/sample=A").is_dir() and "Reads: 4" in text_of(tmp_path / "out/log")
 
 
+def test_outputs_are_checked_before_any_work(spark, tmp_path, capsys):
+    reads = fastq(tmp_path / "in.fastq", ADAPTER_READS)
+    cli.main(["process", "-r", reads, "--save-temp", "--print-processed", "0.01"])  # the folder of the reads
+    assert spark.read.parquet(str(tmp_path / "temp")).count() == 3 and "tasks" in capsys.readouterr().out
+    log = text_of(tmp_path / "log")
+    assert "Files of reads: 1" in log and "Duplicates: 0" in log and "Files of duplicates: 0" in log
+    with pytest.raises(SystemExit, match="exists"):
+        cli.main(["process", "-r", reads])
+    cli.main(["process", "-r", "file://" + reads, "-o", str(tmp_path / "again"), "--strict"])  # by Spark's own reader
+    assert text_of(tmp_path / "again/f/sample=Kept") == text_of(tmp_path / "f/sample=Kept") and not (tmp_path / "again/temp").exists()
+    cli.main(["process", "-r", reads, "-o", str(tmp_path / "again"), "--clear-dir"])
+    assert text_of(tmp_path / "again/f/sample=Kept") == text_of(tmp_path / "f/sample=Kept")
+
+
 def test_duplicates_of_pairs_stand_side_by_side(spark, tmp_path):
     f, r, i = fastq(tmp_path / "f.fastq", ["ACGT", "ACGA"]), fastq(tmp_path / "r.fastq", ["TTTT", "TTTA"]), fastq(tmp_path / "i.fastq", ["AAAA", "AAAA"])
     cli.main(["process", "-r", f, r, "-i", i, "-o", str(tmp_path / "out"), "-u", "4", "-dF", "--save-dup"])
@@ -47,11 +63,18 @@ def test_duplicates_of_pairs_stand_side_by_side(spark, tmp_path):
 
 
 def test_simulate_from_the_command_line(spark, tmp_path):
-    (tmp_path / "sheet").write_text("A ACGTAC PSTI\n")
-    cli.main(["simulate", "-s", str(tmp_path / "sheet"), "-o", str(tmp_path / "out"), "--iter", "20", "--seed", "3", "--umi"])
-    assert spark.read.parquet(str(tmp_path / "out/expected")).count() == 20
-    cli.main(["simulate", "--merging", "-o", str(tmp_path / "pairs"), "--iter", "9", "--seed", "3"])
-    assert (tmp_path / "pairs/r/file=r").is_dir()
+    (tmp_path / "sheet").write_text("A ACGTACGTTA PSTI\nB TTGCCAGGCC PSTI APEKI GGCATTACAG\n")
+    cli.main(["simulate", "-s", str(tmp_path / "sheet"), "-o", str(tmp_path / "out"), "--iter", "20", "--seed", "3", "--umi", "--reversed"])
+    made = spark.read.parquet(str(tmp_path / "out/expected"))
+    assert made.count() == 20 and {"i1_seq", "i2_seq", "r_seq"} <= set(made.columns)
+    flags = ["-A", "AGATCGGAAGAG", "-Z", "TTTTGGGGCCCC", "-eB", "2", "-eA", "1", "-lB", "-lA", "-vA", "5", "-R", "--reversed"]
+    cli.main(["simulate", "-s", str(tmp_path / "sheet"), "-o", str(tmp_path / "both"), "--iter", "50", "--seed", "3", *flags])
+    log = text_of(tmp_path / "both/log")
+    assert "Reads: 100" in log and "Reads of A:" in log and "Adapters in B:" in log
+    results = sum(text_of(p).count("@sim") for p in (tmp_path / "both/results/r").glob("sample=*"))
+    assert results == 50 and (tmp_path / "both/results/f/sample=Undetermined").is_dir()
+    cli.main(["simulate", "--merging", "-o", str(tmp_path / "pairs"), "--iter", "30", "--seed", "3"])
+    assert (tmp_path / "pairs/r/file=r").is_dir() and "Merged reads: " in text_of(tmp_path / "pairs/log")
 
 
 def test_stream_writes_samples(spark, tmp_path):

@@ -12,7 +12,7 @@ from seqloom.operators import dedup, demux, stats
 from seqloom.operators.kernels import Adapter, Budget, Search
 from seqloom.plans.config import Config
 from seqloom.plans.process import process, statistics
-from seqloom.plans.simulate import simulate_pairs, simulate_reads
+from seqloom.plans.simulate import random_edits, random_quality, simulate_pairs, simulate_reads
 from seqloom.sources import enzymes, fastq
 
 ONE = Search(Budget(1))
@@ -181,19 +181,71 @@ def test_simulated_reads_find_their_samples(spark):
     made = simulate_reads(spark, 400, d, 5, 60, Adapter.three("AGATCGGAAGAG"))
     got = made.join(process(made, Config(demux=d)).select("ord", "sample"), "ord")
     assert got.where("expected <> 'Undetermined' and expected <> sample").count() == 0
-    assert got.where("expected <> sample").count() < 4
+    assert 10 < got.where("expected = 'Undetermined'").count() < 90 and got.where("expected <> sample").count() < 8
     cut = process(made, Config(adapters=(Adapter.three("AGATCGGAAGAG"),), adapter_search=Search(Budget(0), overlap=3), adapter_offset=1000))
     both = made.join(cut.select("ord", "n_adapters"), "ord")
     assert both.where("has_adapter").count() > 100 and both.where("has_adapter and n_adapters = 0").count() == 0
-    assert both.where("not has_adapter and n_adapters = 1").count() < 40  # random bases that look like three of the adapter
+    assert both.where("not has_adapter and n_adapters = 1").count() < 60  # three bases by chance, or what a wrong adapter's edits left
     assert simulate_reads(spark, 50, d, 5).collect() == simulate_reads(spark, 50, d, 5).collect()
 
 
+def test_simulated_pairs_of_reads_find_their_samples(spark):
+    samples = (demux.Sample("A", "ACGTACAATT", ("TGCAG", "TGGAG"), ("CAGC",), "GGTTAACCGA"), demux.Sample("B", "TTGCCAGGCA", ("TGCAG",), ("CTGC",), "CATGCATTGC"))
+    d = demux.Demux(samples, ONE, check_reverse=True)
+    made = simulate_reads(spark, 300, d, 7, 40, [Adapter.three("AGATCGGAAGAG")], r_adapter=Adapter.three("CCCCTTTTGGGG"), reverse=True, check_reverse=True, adapter_edits=1)
+    got = made.join(process(made, Config(demux=d)).select("ord", "sample"), "ord")
+    assert got.where("expected <> 'Undetermined' and expected <> sample").count() == 0 and got.where("expected <> sample").count() < 12
+    assert 30 < got.where("expected = 'Undetermined'").count() < 90
+    umis = simulate_reads(spark, 300, d, 7, 40, umi=8, reverse=True)
+    by_index = process(umis, Config(demux=demux.Demux(samples, ONE), by_index=True)).select("ord", "sample").join(umis, "ord")
+    assert by_index.where("expected <> 'Undetermined' and expected <> sample").count() == 0
+
+
+def test_random_edits_and_qualities(spark):
+    seq, n = "ACGTACGTAC", spark.range(300)
+    got = n.select(random_edits(F.lit(seq), F.lit(1), False, 1, F.col("id")).alias("s"), random_edits(F.lit(seq), (F.col("id") % 4).cast("int"), True, 1, F.col("id")).alias("i"), random_quality(9, 1, F.col("id")).alias("q")).collect()
+    assert all(len(r["s"]) == 10 and sum(a != b for a, b in zip(r["s"], seq, strict=True)) == 1 for r in got)
+    assert {len(r["i"]) for r in got} == {7, 8, 9, 10, 11, 12, 13} and got[0]["i"] == seq
+    assert {c for r in got for c in r["q"]} == set(map(chr, range(ord("0"), ord("A") + 1))) and all(len(r["q"]) == 9 for r in got)
+    assert {(a, b) for r in got for a, b in zip(seq, r["s"], strict=True) if a != b} == {(a, b) for a in "ACGT" for b in "ACGT" if a != b}
+
+
+def test_long_reads_come_in_small_slices(spark, monkeypatch):
+    from seqloom.operators import arrow
+    from seqloom.operators.trimming import adapter_trim
+
+    rows = [(i, "AC" * (1 + i % 7) + "AGATCGGAAG", "I" * (2 * (1 + i % 7) + 10)) for i in range(60)] + [(60, "C" * 300_000 + "AGATCGGAAG", "I" * 300_010), (61, None, None), (62, "ACGTAGATCGGAAG", "II")]
+    df = reads(spark, rows).coalesce(1)
+    cut = lambda: {r["ord"]: r["f_seq"] for r in adapter_trim(df, "f_seq", "f_qual", [Adapter.three("AGATCGGAAG")], Search(Budget(1), overlap=5), 100).collect()}
+    monkeypatch.setattr(arrow, "CELLS", 100)
+    got = cut()
+    assert got[60] == "C" * 300_000 and got[61] == "" and got[62] == "ACGT" and got[3] == "AC" * 4
+
+
+def test_reads_without_a_umi_are_no_group(spark):
+    df = spark.range(1000).select(F.col("id").alias("ord"), F.when(F.col("id") % 10 == 0, "ACGT").otherwise("A").alias("i1_seq"))
+    marked = dedup.mark_duplicates(df, S.umi("i1_seq", 4), [], [F.col("ord")])
+    assert marked.groupBy(F.spark_partition_id()).count().count() > 1 and marked.where("duplicate is null").count() == 900 and marked.where("duplicate").count() == 99
+
+
+def test_a_large_sample_has_many_files_in_order(spark, tmp_path):
+    df = spark.range(5000).select(F.when(F.col("id") < 4500, "hot").otherwise("a b/c").alias("sample"), F.col("id").alias("ord"), F.concat(F.lit("@"), "id").alias("header"), F.lit("AC").alias("seq"), F.lit("II").alias("qual"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be joined
+    fastq.write_fastq(df, str(tmp_path / "out"), ["sample"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "out/sample=hot").glob("part*"))) > 1
+    back = fastq.read_written(spark, str(tmp_path / "out"), "sample").where("sample = 'hot'").orderBy("ord").collect()
+    assert [(r["ord"], r["header"]) for r in back] == [(i, f"@{i}") for i in range(4500)]
+
+
 def test_simulated_pairs_merge_as_expected(spark):
-    made = simulate_pairs(spark, 90, 3)
-    done = process(made, Config(merge=True, merge_search=Search(Budget(1), overlap=10)))
-    bad = made.join(done.select("ord", F.col("f_seq").alias("got"), "n_merged"), "ord").where("(kind = 0) <> (n_merged = 2) or (kind = 0 and got <> expected)")
-    assert bad.count() == 0
+    made = simulate_pairs(spark, 120, 3).withColumn("f_qual", F.repeat(F.lit("A"), F.length("f_seq"))).withColumn("r_qual", F.col("f_qual"))
+    assert {r["kind"] for r in made.collect()} == {0, 1, 2}
+    done = process(made, Config(merge=True, merge_search=Search(Budget(1), overlap=20)))
+    got = made.join(done.select("ord", F.col("f_seq").alias("got"), "n_merged"), "ord").collect()
+    assert all(r["n_merged"] == 2 and len(r["got"]) == len(r["expected"]) for r in got if r["kind"] == 0)
+    assert all(sum(a != b for a, b in zip(r["got"], r["expected"], strict=True)) <= 1 for r in got if r["kind"] == 0)
+    assert sum(r["n_merged"] == 2 for r in got if r["kind"]) <= 6  # by chance, or edits that fell on one place
 
 
 def test_scalar_functions(spark):
