@@ -1,27 +1,32 @@
 """Katz backoff language model over words: Good-Turing discounts, exact backoff weights.
 
-Counts live in tables partitioned by word and by n-gram in the shared folder.
-Documents stand in blocks of a few MB. A block sends every distinct word, then
-every distinct bigram, once to the partition that counts it, and gets the
-corpus's counts back in the order sent; so what moves is packed distinct
-n-grams, and no task and no driver ever holds the whole model.
-
-    P(w | h) = d(c(h w)) c(h w) / c(h)   if h w was seen
-             = alpha(h) P(w)             otherwise, alpha(h) = 1 for an unseen h
+Counts live in tables partitioned by word and, for each order, by context in the
+shared folder. Documents stand in blocks of a few MB. A block sends every
+distinct word, then order by order every distinct n-gram, once to the partition
+that counts it, and gets the corpus's counts back in the order sent; so what
+moves is packed distinct n-grams, and no task and no driver ever holds the whole
+model. Words have corpus-wide numbers, and an n-gram is known by its words'
+numbers: no hash stands for one.
+
+    P(w | h) = d(c(h w)) c(h w) / c(h)   if h w was seen; h is up to order - 1 words, h' all but its first
+             = alpha(h) P(w | h')        otherwise, alpha(h) = 1 for an unseen h
     P(w)     = d(c(w)) c(w) / N          if w was seen
              = what is left, as one class of unknown words, otherwise
 
-d is the Good-Turing discount for counts up to LOW, 1 above. alpha(h) is
-exactly what the seen words leave over their share of P. A text is its words
-and one end; the end is also the context of the first word.
+d is the Good-Turing discount of its order for counts up to LOW, 1 above.
+alpha(h) is exactly what the seen words leave over their share of P( | h'). As
+the suffix of a seen n-gram was seen, that share needs no more than the
+suffixes' counts: a block sends them along. A text is its words and one end; the
+end also stands in every place of a context before the first word.
 
 Frequent contexts are split over as many partitions as their share of the
 corpus asks for; their partial sums (no more of them than partitions) meet
-before the last step.
+before they are used.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -37,11 +42,12 @@ BLOCK = 5 << 20  # bytes of text
 PART = 8 << 20  # bytes of text for each partition of the n-gram tables
 LOW = 5  # counts up to here are discounted
 END = b"\n"  # no word holds a blank
+ORDER = 2  # words of the longest n-grams
 SPREAD = 4  # a context of this many partitions' mean share or more is split
 
 ROWS = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
 ROWS_DDL = "kind int, part bigint, block bigint, data binary"
-STATS, DOCS, WORDS, COUNTS, GRAMS, FOUND, HOT = range(7)
+STATS, DOCS, WORDS, COUNTS, GRAMS, HOT, FOUND = range(7)  # FOUND is that of order 2, and so on
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -212,131 +218,194 @@ class Unigrams:
         return np.where(c > 0, self.d[np.where(c <= LOW, c, 0)] * c / max(self.total, 1), self.unknown)
 
 
+def distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct row of the columns (numbers from 0) first stands, in their order, and which one each row is. Exact for numbers of any size."""
+    sizes = [int(c.max(initial=0)) + 1 for c in columns]
+    if math.prod(sizes) < 1 << 63:
+        key = columns[0].astype(np.int64)
+        for c, size in zip(columns[1:], sizes[1:], strict=True):
+            key = key * size + c
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        return first, which
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+class Level:
+    """A block's distinct n-grams of one order, as it sends them: by partition, context and word.
+
+    context and w of each n-gram; words of each context; train: the block's own
+    count; suffix: the n-gram of the order below, with the corpus's count
+    lower; total of each context; split: contexts that lie in several
+    partitions; token: the n-gram of each token.
+    """
+
+    def __init__(self, block: Block, words: list[np.ndarray], below_token: np.ndarray, below: np.ndarray, total: np.ndarray, parts: int, all_: int, spread: float):
+        first, ctx = distinct(*words)
+        at, self.token = distinct(ctx, block.w)
+        self.context, self.w, self.suffix = ctx[at], block.w[at], below_token[at]
+        self.words, self.total = [w[first] for w in words], total[first]
+        self.train = np.bincount(self.token[block.train], minlength=len(at)).astype(np.int32)
+        self.lower = below[self.suffix]
+        ways = 1 + (self.total * parts // max(1, spread * all_)).astype(np.int64)
+        self.split = ways > 1
+        home = np.zeros(len(first), np.uint64)
+        for w in self.words:
+            home = mixed(home ^ mixed(block.number[w].astype(np.uint64)))
+        lot = mixed(block.number[self.w].astype(np.uint64)) % ways[self.context].astype(np.uint64)
+        self.to = ((home[self.context] + lot * np.uint64(max(1, parts // 7) | 1)) % np.uint64(parts)).astype(np.uint32)
+        self.order = np.argsort(self.to, kind="stable")
+
+    def runs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(partition, its n-grams, where a new context begins in them)."""
+        for part, at in _runs(self.to[self.order]):
+            own = self.order[at]
+            c = self.context[own]
+            yield part, own, np.concatenate([[0], np.flatnonzero(c[1:] != c[:-1]) + 1])
+
+
 class Block:
-    """A block's documents and its distinct bigrams, by corpus-wide word numbers, in the order in which they are sent."""
+    """A block's documents, by corpus-wide word numbers, and its levels up to an order; `found` has the counts of all but the last of them."""
 
-    def __init__(self, found: list[tuple], parts: int, total: int, spread: float):
+    def __init__(self, found: list[tuple], parts: int, total: int, spread: float, order: int):
         docs = next(r for r in found if r[0] == DOCS)
         self.ids, self.known, self.held, self.lens, flat, part, end = unpack(docs[3])
-        order = np.argsort(part, kind="stable")
+        by_part = np.argsort(part, kind="stable")
         got = [unpack(r[3]) for r in sorted((r for r in found if r[0] == COUNTS), key=lambda r: r[1])]
         number, c = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
-        number[order], c[order] = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        number[by_part], c[by_part] = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
         by_number = np.argsort(number, kind="stable")
         place = np.empty(len(part), np.int64)
         place[by_number] = np.arange(len(part))
         self.number, self.c = number[by_number], c[by_number]
-        w = place[flat]
-        h = np.empty_like(w)
-        h[1:] = w[:-1]
-        h[:1] = place[end[0]]
-        grams, first, self.token_gram = np.unique(h << 32 | w, return_index=True, return_inverse=True)
-        self.w_token = w
-        train = np.bincount(self.token_gram[np.repeat(self.held == 0, self.lens)], minlength=len(grams)).astype(np.int32)
-        h, w = grams >> 32, grams & 0xFFFFFFFF
-        ways = 1 + (self.c[h] * parts // max(1, spread * total)).astype(np.int64)
-        lot = mixed(self.number[w].astype(np.uint64)) % ways.astype(np.uint64)
-        to = ((mixed(self.number[h].astype(np.uint64)) + lot * np.uint64(max(1, parts // 7) | 1)) % np.uint64(parts)).astype(np.uint32)
-        order = np.argsort(to, kind="stable")
-        self.to, self.h, self.w, self.train, self.split, self.order = to[order], h[order], w[order], train[order], ways[order] > 1, order
-
-
-def _send_grams(parts: int, total: int, spread: float):
+        self.w, self.end = place[flat], int(place[end[0]])
+        self.train = np.repeat(self.held == 0, self.lens)
+        in_text = np.arange(len(self.w)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
+        counts = {(r[0], r[1]): r[3] for r in found if r[0] >= FOUND}
+        self.levels: list[Level] = []
+        self.counts: list[np.ndarray] = []  # the corpus's, of each level but the last
+        self.sums: list[tuple[np.ndarray, np.ndarray]] = []  # low and weight of each context, of each level but the last
+        token, below = self.w, self.c
+        for k in range(1, order):
+            words = [np.where(in_text >= j, np.concatenate([np.full(j, self.end), self.w[:-j]]), self.end) for j in range(k, 0, -1)]
+            context_total = np.where(in_text > 0, np.concatenate([[0], below[token][:-1]]), self.c[self.end])
+            level = Level(self, words, token, below, context_total, parts, total, spread)
+            self.levels.append(level)
+            if (FOUND + k - 1, level.to[level.order[0]]) not in counts:
+                break
+            count, low, weight = np.empty(len(level.w), np.int64), np.zeros((len(level.total), LOW)), np.zeros(len(level.total))
+            for p, own, start in level.runs():
+                mine, *rest = unpack(counts[FOUND + k - 1, p])
+                count[own] = mine
+                low[level.context[own[start]]], weight[level.context[own[start]]] = np.stack(rest[:LOW], axis=1), rest[LOW]
+            self.counts.append(count)
+            self.sums.append((low, weight))
+            token, below = level.token, count
+
+    def context_number(self, level: Level, context: int) -> tuple[int, ...]:
+        return tuple(int(self.number[w[context]]) for w in level.words)
+
+
+def _send_grams(parts: int, total: int, spread: float, order: int):
     """For each partition, its contexts and their words with the block's training counts, sorted by number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, found in grouped(batches, "block"):
-            b = Block(found, parts, total, spread)
-            for part, at in _runs(b.to):
-                h, w = b.number[b.h[at]], b.number[b.w[at]]
-                new = np.ones(len(h), bool)
-                new[1:] = h[1:] != h[:-1]
-                start = np.flatnonzero(new)
-                step = w.copy()
-                step[1:] -= np.where(new[1:], 0, w[:-1])
-                yield rows([(GRAMS, part, number, pack(np.diff(h[start], prepend=0), np.diff(start, append=len(h)).astype(np.int32), b.split[at][start].astype(np.uint8), step, b.train[at], b.c[b.w[at]]))])
+            b = Block(found, parts, total, spread, order)
+            v = b.levels[order - 2]
+            for part, own, start in v.runs():
+                w = b.number[v.w[own]]
+                step = np.diff(w, prepend=0)
+                step[start] = w[start]  # words of a context by their differences
+                contexts = v.context[own[start]]
+                names = [np.diff(b.number[x[contexts]], prepend=0) for x in v.words]
+                yield rows([(GRAMS, part, number, pack(*names, np.diff(start, append=len(own)).astype(np.int32), v.split[contexts].astype(np.uint8), step, v.train[own], v.lower[own]))])
 
     return run
 
 
-def _count_grams(unigrams: Unigrams):
-    """The corpus's count of each bigram sent; of each context, how many words it has of each low count, and their share of P."""
+def _count_grams(weigh, order: int):
+    """The corpus's count of each n-gram sent; of each context, how many words it has of each low count, and their suffixes' weight together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in grouped(batches, "part"):
-            hs, ws, rs, cs, cuts, splits, sizes = [], [], [], [], [], [], []
+            names, sizes, splits, ws, trains, lowers = [], [], [], [], [], []
             for r in found:
-                h, size, split, step, train, c = unpack(r[3])
-                h = np.cumsum(h)
-                ends = np.cumsum(size)
-                run_sum = np.cumsum(step)
-                base = np.concatenate([[0], run_sum[ends[:-1] - 1]]) if len(ends) else ends
-                hs.append(np.repeat(h, size))
+                *own, size, split, step, train, lower = unpack(r[3])
+                run_sum, ends = np.cumsum(step), np.cumsum(size)
+                base = np.concatenate([[0], run_sum[ends[:-1] - 1]])
+                names.append([np.cumsum(x) for x in own])
                 ws.append(run_sum - np.repeat(base, size))
-                rs.append(train)
-                cs.append(c)
-                cuts.append(h)
-                splits.append(split)
-                sizes.append(len(step))
-            h, w, r, c = map(np.concatenate, (hs, ws, rs, cs))
-            key = h << 32 | w if max(h.max(), w.max()) < 1 << 31 else mixed(mixed(h.astype(np.uint64)) + w.astype(np.uint64)).view(np.int64)
-            _, first, at = np.unique(key, return_index=True, return_inverse=True)
-            count = np.bincount(at, r).astype(np.int64)
-            h, c = h[first], c[first]
-            contexts, ctx = np.unique(h, return_inverse=True)
-            seen = count > 0
-            low = np.stack([np.bincount(ctx[count == k], minlength=len(contexts)) for k in range(1, LOW + 1)]).astype(np.int32)
-            share = np.bincount(ctx[seen], unigrams.p(c[seen]), len(contexts))
+                for to, x in ((sizes, size), (splits, split), (trains, train), (lowers, lower)):
+                    to.append(x)
+            words = [np.concatenate(x) for x in zip(*names, strict=True)]
+            first, sent = distinct(*words)  # of contexts, each block's own
+            at, gram = distinct(np.repeat(sent, np.concatenate(sizes)), np.concatenate(ws))
+            context = np.repeat(sent, np.concatenate(sizes))[at]
+            count = np.bincount(gram, np.concatenate(trains)).astype(np.int64)
+            lower, seen = np.concatenate(lowers)[at], count > 0
+            low = np.stack([np.bincount(context[count == k], minlength=len(first)) for k in range(1, LOW + 1)]).astype(np.int32)
+            weight = np.bincount(context[seen], weigh(lower[seen]), len(first))
             yield rows([(STATS, part, -1, pack(counts_of_counts(count)))])
-            hot = np.unique(np.concatenate([x[s > 0] for x, s in zip(cuts, splits, strict=True)]))
+            hot = np.unique(sent[np.concatenate(splits) > 0])
             if len(hot):
-                own = np.searchsorted(contexts, hot)
-                yield rows([(HOT, part, int(x), pack(low[:, k], share[k : k + 1])) for x, k in zip(hot.tolist(), own.tolist(), strict=True)])
-            done = 0
-            for row, sent, n in zip(found, cuts, sizes, strict=True):
-                own = np.searchsorted(contexts, sent)
-                yield rows([(FOUND, part, row[2], pack(count[at[done : done + n]].astype(np.int32), *low[:, own], share[own]))])
-                done += n
+                yield rows([(HOT, part, -1, pack(*[x[first[hot]] for x in words], *low[:, hot], weight[hot]))])
+            done, upto = 0, 0
+            for row, size in zip(found, sizes, strict=True):
+                own, n = sent[done : done + len(size)], int(size.sum())
+                yield rows([(FOUND + order - 2, part, row[2], pack(count[gram[upto : upto + n]].astype(np.int32), *low[:, own], weight[own]))])
+                done, upto = done + len(size), upto + n
 
     return run
 
 
+Hot = dict[tuple[int, ...], tuple[np.ndarray, float]]
+
+
+def probabilities(b: Block, unigrams: Unigrams, d: list[np.ndarray], hot: list[Hot]) -> np.ndarray:
+    """P of each token: order by order, the discounted share where the n-gram was seen, else the weight of its context times P of the suffix."""
+    p, total_below, total = unigrams.p(b.c), None, None
+    for k, level in enumerate(b.levels):
+        count, (low, weight) = b.counts[k], b.sums[k]
+        if hot[k]:
+            for i in np.flatnonzero(level.split).tolist():
+                low[i], weight[i] = hot[k][b.context_number(level, i)]
+        freed = (low * np.arange(1, LOW + 1) * (1 - d[k][1:])).sum(axis=1)
+        bare = freed <= 0  # all its words are frequent: its total gains one for the others
+        total = np.where(bare, level.total + 1, level.total).astype(float)
+        if k:  # the weights are discounted counts, whose total is that of the shorter context
+            weight = weight / np.maximum(_of_contexts(level, total_below[b.levels[k - 1].context[level.suffix]]), 1)
+        left = np.where(bare, 1.0, freed) / np.maximum(total, 1)
+        alpha = np.where(level.total > 0, left / np.maximum(1 - weight, 1e-300), 1.0)
+        p = np.where(count > 0, d[k][np.where(count <= LOW, count, 0)] * count / np.maximum(total[level.context], 1), alpha[level.context] * p[level.suffix if k else level.w])
+        total_below = total
+    return p[b.levels[-1].token] if b.levels else p[b.w]
+
+
+def _of_contexts(level: Level, of_gram: np.ndarray) -> np.ndarray:
+    """What all n-grams of a context have in common, for each context."""
+    out = np.zeros(len(level.total))
+    out[level.context] = of_gram
+    return out
+
+
 OUT_DDL = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _score(parts: int, unigrams: Unigrams, d: np.ndarray, hot: dict[int, tuple[np.ndarray, float]], spread: float):
+def _score(parts: int, unigrams: Unigrams, d: list[np.ndarray], hot: list[Hot], spread: float, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = np.array(sorted(hot), np.int64)
-        hot_low, hot_share = np.array([hot[k][0] for k in numbers.tolist()]).reshape(-1, LOW), np.array([hot[k][1] for k in numbers.tolist()])
         for _, found in grouped(batches, "block"):
-            b = Block(found, parts, unigrams.total, spread)
-            got = {r[1]: r[3] for r in found if r[0] == FOUND}
-            count = np.empty(len(b.h), np.int64)
-            low, share = np.zeros((len(b.number), LOW)), np.zeros(len(b.number))
-            for part, at in _runs(b.to):
-                own, *rest = unpack(got[part])
-                count[at] = own
-                h = b.h[at]
-                start = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1])
-                low[h[start]], share[h[start]] = np.stack(rest[:LOW], axis=1), rest[LOW]
-            if len(numbers):
-                k = np.minimum(np.searchsorted(numbers, b.number), len(numbers) - 1)
-                is_hot = numbers[k] == b.number
-                low[is_hot], share[is_hot] = hot_low[k[is_hot]], hot_share[k[is_hot]]
-            r = np.arange(1, LOW + 1)
-            freed = (low * r * (1 - d[1:])).sum(axis=1)
-            bare = freed <= 0  # all its words are frequent: its total gains one for the others
-            total = np.where(bare, b.c + 1, b.c).astype(float)
-            left = np.where(bare, 1.0, freed) / np.maximum(total, 1)
-            alpha = np.where(b.c > 0, left / np.maximum(1 - share, 1e-300), 1.0)
-            p_low = unigrams.p(b.c)
-            p = np.where(count > 0, d[np.where(count <= LOW, count, 0)] * count / np.maximum(total[b.h], 1), alpha[b.h] * p_low[b.w])
-            gram = np.empty(len(p))
-            gram[b.order] = np.log10(p)
+            b = Block(found, parts, unigrams.total, spread, order)
             starts = np.cumsum(b.lens) - b.lens
-            c = b.c[b.w_token]
+            c = b.c[b.w]
             base = np.add.reduceat(np.log10((c + 1) / (unigrams.total + unigrams.distinct + 1)), starts)
-            score = np.add.reduceat(gram[b.token_gram], starts)
+            score = np.add.reduceat(np.log10(probabilities(b, unigrams, d, hot)), starts)
             known = np.add.reduceat((c > 0).astype(np.int64), starts)
             ids = pa.array(b.ids, pa.int64(), mask=b.known == 0)
             yield pa.RecordBatch.from_arrays([ids, pa.array(b.held > 0), pa.array(b.lens.astype(np.int64)), pa.array(known), pa.array(np.full(len(known), unigrams.total, np.int64)), pa.array(base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -360,13 +429,36 @@ def _totals(df: DataFrame) -> list[np.ndarray]:
     return [np.sum(x, axis=0) for x in zip(*got, strict=True)]
 
 
-def katz_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", spread: float = SPREAD) -> DataFrame:
+class Discounted:
+    """d(c) c of n-grams that were seen."""
+
+    def __init__(self, d: np.ndarray):
+        self.d = d
+
+    def __call__(self, c: np.ndarray) -> np.ndarray:
+        return self.d[np.where(c <= LOW, c, 0)] * c
+
+
+def _hot(found: DataFrame, words: int) -> Hot:
+    """Sums of split contexts, by their words' numbers: a row a partition, with no more contexts in all than partitions, twice."""
+    out: Hot = {}
+    for r in found.where(F.col("kind") == HOT).select("data").collect():
+        arrays = unpack(r["data"])
+        low, weight = np.stack(arrays[words:-1], axis=1), arrays[-1]
+        for i, name in enumerate(zip(*(x.tolist() for x in arrays[:words]), strict=True)):
+            was = out.get(name, (np.zeros(LOW), 0.0))
+            out[name] = was[0] + low[i], was[1] + float(weight[i])
+    return out
+
+
+def katz_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, spread: float = SPREAD) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score and score of every row's whole text.
 
     The model learns from the rows where `held_out` isn't true. Words are runs
     of anything but [\\x20\\x09-\\x0D], A-Z in lower case; a text is its words
     and one end, so null and empty texts have one token. score is the model's
-    log10 probability of the text, base_score that of add-one unigrams.
+    log10 probability of the text, base_score that of add-one unigrams. `order`
+    is the longest n-gram's number of words, 1 or more.
     Repeated rows count each and get equal scores; an empty table gives an
     empty one; with no training row every token is unknown, of probability 1.
     """
@@ -383,17 +475,18 @@ def katz_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     total, n_words = _totals(counts) or [np.zeros(2, np.int64), np.zeros(LOW + 1, np.int64)]
     unigrams = Unigrams(int(total[0]), int(total[1]), n_words)
     known = blocks.union(counts.where(F.col("kind") == COUNTS))
-    grams = by_block(known).mapInArrow(_send_grams(parts, unigrams.total, spread), ROWS_DDL)
-    found = written(by_part(grams).mapInArrow(_count_grams(unigrams), ROWS_DDL), "grams")
-    d = discounts((_totals(found) or [np.zeros(LOW + 1, np.int64)])[0])
-    hot: dict[int, tuple[np.ndarray, float]] = {}
-    for r in found.where(F.col("kind") == HOT).select("block", "data").collect():  # no more than there are partitions, twice
-        low, share = unpack(r["data"])
-        was = hot.get(r["block"], (np.zeros(LOW), 0.0))
-        hot[r["block"]] = was[0] + low, was[1] + float(share[0])
-    scored = by_block(known.union(found.where(F.col("kind") == FOUND))).mapInArrow(_score(parts, unigrams, d, hot, spread), OUT_DDL)
+    d, hot, tables = [], [], []
+    for k in range(2, order + 1):
+        weigh = unigrams.p if k == 2 else Discounted(d[-1])
+        grams = by_block(known).mapInArrow(_send_grams(parts, unigrams.total, spread, k), ROWS_DDL)
+        found = written(by_part(grams).mapInArrow(_count_grams(weigh, k), ROWS_DDL), "grams")
+        tables.append(found)
+        d.append(discounts((_totals(found) or [np.zeros(LOW + 1, np.int64)])[0]))
+        hot.append(_hot(found, k - 1))
+        known = known.union(found.where(F.col("kind") >= FOUND))
+    scored = by_block(known).mapInArrow(_score(parts, unigrams, d, hot, spread, order), OUT_DDL)
     scores = written(scored, "scores")
-    delete_written(sent, counts, found)
+    delete_written(sent, counts, *tables)
     return scores.withColumnRenamed("id", id_col)
 
 

@@ -12,71 +12,87 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm.katz import LOW, discounts, katz_scores, pack, unpack
+from seqloom.llm.katz import LOW, discounts, distinct, katz_scores, pack, unpack
 from seqloom.llm.langid import identify_languages, learn_languages, remainder, viterbi
 from seqloom.llm.mincut_html import PRIOR, Blocks, extract_text, fit, label, learn_blocks, main_text, minimum_cut
 
 from .conftest import EDGES
 
 
-def plain_katz(docs, held):
+def plain_katz(docs, held, order):
     """Scores by the definition, with dictionaries."""
-    texts = [(i, [*((t or "").encode().lower().split()), b"\n"]) for i, t in docs]
-    uni, bi = collections.Counter(), collections.Counter()
+    end = b"\n"
+    texts = [(i, [*((t or "").encode().lower().split()), end]) for i, t in docs]
+    grams = lambda w, k: [tuple(([end] * (k - 1) + w)[j : j + k]) for j in range(len(w))]
+    counts = [collections.Counter() for _ in range(order)]
     for (_, w), h in zip(texts, held, strict=True):
         if not h:
-            uni.update(w)
-            bi.update(zip([b"\n", *w], w, strict=False))
-    total, distinct = sum(uni.values()), len(uni)
-    seen = lambda c: np.array([sum(v == k for v in c.values()) for k in range(1, LOW + 2)])
-    d1, d2 = discounts(seen(uni)), discounts(seen(bi))
-    freed = sum((1 - d1[c]) * c for c in uni.values() if c <= LOW)
-
-    def p1(w):
-        if not total or freed <= 0:
-            return (uni[w] + 1) / (total + distinct + 1)
-        c = uni[w]
-        return (d1[c] if c <= LOW else 1) * c / total if c else freed / total
-
-    after = collections.defaultdict(dict)
-    for (h, w), c in bi.items():
-        after[h][w] = c
-    size, alpha = {}, {}
-    for h, ws in after.items():
-        left = sum((1 - d2[c]) * c for c in ws.values() if c <= LOW)
-        size[h] = sum(ws.values()) + (left <= 0)
-        alpha[h] = (left if left > 0 else 1) / size[h] / (1 - sum(map(p1, ws)))
+            for k in range(order):
+                counts[k].update(grams(w, k + 1))
+    uni = counts[0]
+    total, n_words = sum(uni.values()), len(uni)
+    d = [discounts(np.array([sum(v == k for v in c.values()) for k in range(1, LOW + 2)])) for c in counts]
+    discounted = lambda k, c: (d[k][c] if c <= LOW else 1) * c
+    freed = sum(c - discounted(0, c) for c in uni.values())
+    after = [collections.defaultdict(dict) for _ in range(order)]
+    for k in range(1, order):
+        for g, c in counts[k].items():
+            after[k][g[:-1]][g[-1]] = c
+    alphas = {}
 
     def p(h, w):
-        c = after[h].get(w, 0) if h in after else 0
-        return (d2[c] if c <= LOW else 1) * c / size[h] if c else alpha.get(h, 1) * p1(w)
-
-    for h in list(after)[:5]:
-        assert abs(sum(p(h, w) for w in uni) + alpha[h] * (p1(b"never seen")) - 1) < 1e-9
+        k = len(h)
+        if not k:
+            if not total or freed <= 0:
+                return (uni[w,] + 1) / (total + n_words + 1)
+            return discounted(0, uni[w,]) / total if uni[w,] else freed / total
+        seen = after[k].get(h)
+        if seen is None:
+            return p(h[1:], w)
+        if h not in alphas:
+            left = sum(c - discounted(k, c) for c in seen.values())
+            left = left if left > 1e-12 else 0
+            size = sum(seen.values()) + (left <= 0)
+            alphas[h] = size, (left if left > 0 else 1) / size / (1 - sum(p(h[1:], x) for x in seen))
+        size, alpha = alphas[h]
+        return discounted(k, seen[w]) / size if w in seen else alpha * p(h[1:], w)
+
+    for k in range(1, order):
+        for h in list(after[k])[:5]:
+            assert abs(sum(p(h, w) for (w,) in uni) + p(h, b"never seen") - 1) < 1e-9
     out = {}
     for i, w in texts:
-        out[i] = (len(w), sum(x in uni for x in w), total, sum(math.log10((uni[x] + 1) / (total + distinct + 1)) for x in w), sum(math.log10(p(h, x)) for h, x in zip([b"\n", *w], w, strict=False)))
+        out[i] = (len(w), sum((x,) in uni for x in w), total, sum(math.log10((uni[x,] + 1) / (total + n_words + 1)) for x in w), sum(math.log10(p(g[:-1], g[-1])) for g in grams(w, order)))
     return out
 
 
-def compare(spark, docs, spread=4.0):
+def compare(spark, docs, spread=4.0, order=2):
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r for r in katz_scores(df, remainder(F.col("doc_id"), 7) == 2, spread=spread).collect()}
-    for i, want in plain_katz(docs, held).items():
+    got = {r["doc_id"]: r for r in katz_scores(df, remainder(F.col("doc_id"), 7) == 2, order=order, spread=spread).collect()}
+    for i, want in plain_katz(docs, held, order).items():
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[:3]
         assert r["base_score"] == pytest.approx(want[3], rel=1e-9, abs=1e-9) and r["score"] == pytest.approx(want[4], rel=1e-9, abs=1e-9)
     return got
 
 
-@pytest.mark.parametrize("spread", [4.0, 0.01])  # 0.01: most contexts are split over partitions
-def test_katz_equals_the_definition(spark, spread):
+@pytest.mark.parametrize(("order", "spread"), [(1, 4.0), (2, 4.0), (2, 0.01), (3, 4.0), (3, 0.01), (4, 4.0)])  # 0.01: most contexts are split over partitions
+def test_katz_equals_the_definition(spark, order, spread):
     r = random.Random(6)
     words = ["the", "The", "of", *[f"w{i}" for i in range(60)]]
     docs = [(i, " ".join(r.choices(words, [30, 10, 20, *[60 / (k + 1) for k in range(60)]], k=r.randint(0, 60)))) for i in range(120)]
     docs += [(500, None), (501, ""), (502, " unknown words only here")]
-    compare(spark, docs, spread)
+    compare(spark, docs, spread, order)
+
+
+def test_distinct_rows_are_exact_at_any_size():
+    r = np.random.default_rng(2)
+    small = [r.integers(0, 3, 500) for _ in range(3)]
+    large = [x * (1 << 60) + 7 for x in small]
+    first, which = distinct(*small)
+    assert all((x == y).all() for x, y in zip((first, which), distinct(*large), strict=True))
+    assert all((c[first][which] == c).all() for c in small) and len(first) == len(set(zip(*(c.tolist() for c in small), strict=True)))
 
 
 def test_katz_beats_unigrams_on_held_out_text(spark, sf_dir):
@@ -86,8 +102,9 @@ def test_katz_beats_unigrams_on_held_out_text(spark, sf_dir):
 
 
 def test_katz_of_tiny_corpora(spark):
-    compare(spark, [(1, "a a a a a a a a")])
-    compare(spark, [(1, "a b"), (2, "a b")])
+    for order in (2, 3):
+        compare(spark, [(1, "a a a a a a a a")], order=order)
+        compare(spark, [(1, "a b"), (2, "a b")], order=order)
     none = katz_scores(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), F.lit(True)).collect()
     assert all(x["train_tokens"] == 0 and x["score"] == 0 and x["n_known"] == 0 for x in none)
 
