@@ -13,7 +13,6 @@ from ..operators.kernels import FULL, Adapter, Budget, Search
 from ..sources import enzymes
 from .config import Config
 from .process import process, statistics
-from .simulate import simulate_reads
 
 # Reads as a function of the keys of `orders`: the same text gives the same rows in Spark and in DuckDB.
 READS_SQL = """
@@ -60,6 +59,7 @@ def reads(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+SELECTS: dict[str, str] = {}  # the SQL without its CTEs
 _READS = "reads AS (" + READS_SQL.format(orders="orders") + ")"
 
 
@@ -69,6 +69,7 @@ def query(name: str, sql: str | None = None, ctes: str = "") -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[name] = f
         if sql:
+            SELECTS[name] = sql
             ORACLE_SQL[name] = f"WITH {_READS}{', ' + ctes if ctes else ''} {sql}"
         return f
 
@@ -565,16 +566,3 @@ def stats_total(spark: SparkSession, d: str) -> DataFrame:
 )
 def stats_shares(spark: SparkSession, d: str) -> DataFrame:
     return statistics(run_all(spark, d)).select("sample", *[F.round(c, 9).alias(c) for c in ("share_reads", "share_adapters", "share_bases")])
-
-
-@query("stats_report")
-def stats_report(spark: SparkSession, d: str) -> DataFrame:
-    """Fixed-width lines; their text is tested on a small fixture."""
-    return stats.report(statistics(run_all(spark, d)), {n: (b, None) for n, b in SHEET.items()})
-
-
-@query("simulated_samples")
-def simulated_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Simulated reads and what the run makes of them; tested against the samples that they were made for."""
-    made = simulate_reads(spark, 5000, RUN.demux, 11, 60, Adapter.three(ADAPTER))
-    return made.join(process(made, RUN).select("ord", "sample"), "ord").groupBy("expected", "sample").agg(F.count("*").alias("n"))

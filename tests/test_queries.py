@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 
+from seqloom.plans import more_queries  # noqa: F401
 from seqloom.plans import queries as Q
 
 
