@@ -253,8 +253,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 BAND = "key bigint, id bigint, n int"
-MET = "lead bigint, id bigint, key bigint, n int"
-MET_SCHEMA = pa.schema([("lead", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("n", pa.int32())])
+MET = "lead bigint, id bigint, crowd bigint, n int"
+MET_SCHEMA = pa.schema([("lead", pa.int64()), ("id", pa.int64()), ("crowd", pa.int64()), ("n", pa.int32())])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,15 +291,15 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(start, append=len(key))
 
 
-def _of_large(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch["id"], batch["key"], batch["n"]], schema=MET_SCHEMA)
+def _of_large(batch: pa.RecordBatch, crowd: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch["id"], pa.array(crowd, pa.int64()), batch["n"]], schema=MET_SCHEMA)
 
 
 def _of_small(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Whole buckets: pairs of those of FEW texts that lengths allow, the rows of others."""
+    """Whole buckets: pairs of those of FEW texts that lengths allow, the rows of others with their least id."""
     key, ids, n = rows["key"].to_numpy(), rows["id"].to_numpy(), rows["n"].to_numpy()
-    size = _runs(key)[1]
-    size = np.repeat(size, size)
+    start, each = _runs(key)
+    size = np.repeat(each, each)
     at = np.flatnonzero((size > 1) & (size <= FEW))
     k = key[at]
     for step in range(1, min(FEW, len(at))):
@@ -310,17 +310,17 @@ def _of_small(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ok = np.abs(n[a] - n[b]) <= np.floor((1 - SIMILAR) * np.maximum(n[a], n[b]) + 1e-9)
         yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]]), pa.nulls(ok.sum(), pa.int64()), pa.nulls(ok.sum(), pa.int32())], schema=MET_SCHEMA)
     if (size > FEW).any():
-        yield _of_large(rows.filter(pa.array(size > FEW)))
+        yield _of_large(rows.filter(pa.array(size > FEW)), np.repeat(ids[start], each)[size > FEW])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of small buckets, rows of large ones with their key. Rows arrive sorted by key; no more than a batch and FEW of them are held."""
+    """Pairs of small buckets, rows of large ones with their least id. Rows arrive sorted by key and id; no more than a batch and FEW of them are held."""
     tail: list[pa.RecordBatch] = []
-    crowded = None  # the key of a large bucket whose rows go on
+    crowded, crowd = None, 0  # the key of a large bucket whose rows go on, and its least id
     for batch in batches:
         if crowded is not None:
             more = int(np.searchsorted(batch["key"].to_numpy(), crowded, "right"))
-            yield _of_large(batch.slice(0, more))
+            yield _of_large(batch.slice(0, more), np.full(more, crowd))
             batch = batch.slice(more)
         if not batch.num_rows:
             continue
@@ -331,8 +331,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _of_small(rows.slice(0, last))
         tail, crowded = [rows.slice(last)], None
         if len(rows) - last > FEW:
-            yield _of_large(tail[0])
-            tail, crowded = [], key[-1]
+            crowded, crowd = key[-1], tail[0]["id"][0].as_py()
+            yield _of_large(tail[0], np.full(len(rows) - last, crowd))
+            tail = []
     if tail:
         yield from _of_small(tail[0])
 
@@ -469,15 +470,14 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     Every pair that meets in a band is verified, or verified links connect it.
     """
     n = partitions_for(docs.sparkSession)
-    dealt = lambda df: df.repartition(n, "key").sortWithinPartitions("key")
+    dealt = lambda df, *then: df.repartition(n, "key").sortWithinPartitions("key", *then)
     distinct = sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("x")).select("x.*")
-    met = written(dealt(distinct.mapInArrow(_bands, BAND)).mapInArrow(_meet, MET), "met")
+    met = written(dealt(distinct.mapInArrow(_bands, BAND), "id").mapInArrow(_meet, MET), "met")
     pairs = written(_pairs(met.where("lead is not null").select("lead", "id")), "pairs")
     links = written(_aligned(docs, pairs), "near")
-    large = met.where("key is not null").select("key", "id", "n")
+    large = met.where("crowd is not null").select("crowd", "id", "n")
     if not large.isEmpty():
-        crowds = large.groupBy("key").agg(F.min("id").alias("crowd")).select(dealt_anew("key"), "crowd")
-        rows = written(large.join(crowds, "key").select("crowd", "id", "n").distinct(), "crowds")
+        rows = written(large.distinct(), "crowds")
         sent = _met_blocks(_blocked(rows)).join(_texts(docs, rows.select("id").distinct()), F.col("id") == F.col("doc")).select("key", "side", "id", "words")
         links = links.union(written(dealt(sent).mapInArrow(_prove, LINK), "near"))
         delete_written(rows)
